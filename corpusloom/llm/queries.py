@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import neardup
+from corpusloom.llm import multiindex, neardup
 from corpusloom.runtime import table
 
 SECTION_WORDS, SECTION_SIMILARITY, SECTION_LEAST = 3, 0.6, 20  # as TESTDATA.md states the problem for chunks
@@ -26,5 +26,25 @@ def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.classes(*_near_chunks(spark, folder)).withColumnRenamed("id", "chunk_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes}
+NEIGHBOURS, PAIR_SIMILARITY = 10, 0.90
+TOPK_SHARE = 0.35  # of a model's entries that a query of p4_topk passes; its neighbours may be far away
+
+
+def _chunk_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return multiindex.usable(table(spark, folder, "chunk_vectors"), "chunk_id", "vector", "model", "dimensions")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of chunks with a cosine of 0.90 or more of which one is among the other's ten most similar."""
+    near = multiindex.top_similar(_chunk_vectors(spark, folder), NEIGHBOURS, PAIR_SIMILARITY)
+    return near.select(F.least("id", "near_id").alias("chunk_id_a"), F.greatest("id", "near_id").alias("chunk_id_b")).distinct()
+
+
+def p4_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten most similar vectors, whatever their similarity, of every chunk whose id is divisible by 100."""
+    points = _chunk_vectors(spark, folder)
+    return multiindex.top_similar(points, NEIGHBOURS, queries=points.where("id % 100 = 0").select("id", "model"), share=TOPK_SHARE).select("model", F.col("id").alias("chunk_id"), F.col("near_id").alias("near_chunk_id"), F.round("similarity", 6).alias("similarity"), "rank")
+
+
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p4_found": p4_found, "p4_topk": p4_topk}
 SQL: dict[str, str] = {}
