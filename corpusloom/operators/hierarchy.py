@@ -115,7 +115,7 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
     closing = ends.join(comp("top"), "top").join(comp("child"), "child").where("top_comp = child_comp").select(F.col("end").alias("node")).distinct()
     marked = cut(closing)
     for jump in reversed(tables):  # all ancestors up to the top, for every sum of jump lengths
-        marked = marked.unionByName(jump.join(marked, "node", "left_semi").select(F.col("up").alias("node"))).distinct()
+        marked = cut(marked.unionByName(jump.join(marked, "node", "left_semi").select(F.col("up").alias("node"))).distinct())
     return core.unionByName(marked).distinct()
 
 
