@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import multiindex, neardup
+from corpusloom.llm import multiindex, neardup, split
 from corpusloom.runtime import table
 
 SECTION_WORDS, SECTION_SIMILARITY, SECTION_LEAST = 3, 0.6, 20  # as TESTDATA.md states the problem for chunks
@@ -46,5 +46,33 @@ def p4_topk(spark: SparkSession, folder: str) -> DataFrame:
     return multiindex.top_similar(points, NEIGHBOURS, queries=points.where("id % 100 = 0").select("id", "model"), share=TOPK_SHARE).select("model", F.col("id").alias("chunk_id"), F.col("near_id").alias("near_chunk_id"), F.round("similarity", 6).alias("similarity"), "rank")
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p4_found": p4_found, "p4_topk": p4_topk}
-SQL: dict[str, str] = {}
+def _sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks with the limits of their file's collection; a chunk without file or collection has no limit and is left out."""
+    files = table(spark, folder, "files").groupBy(F.col("id").alias("file_id")).agg(F.max_by("collection_id", "last_indexed").alias("collection_id"))
+    limits = table(spark, folder, "section_options").groupBy("collection_id").agg(F.max("max_section_chars").alias("max_bytes"), F.max("overlap_lines").alias("overlap_lines"))
+    chunks = table(spark, folder, "chunks").select("id", "file_id", "heading_level", F.col("content").alias("text"))
+    return chunks.join(files.join(limits, "collection_id").select("file_id", "max_bytes", "overlap_lines"), "file_id").where(F.octet_length("text") > F.greatest(F.col("max_bytes"), F.lit(1))).dropDuplicates(["id"])
+
+
+def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Oversized chunks as pieces under the limit of their collection, with heading level and overlap."""
+    sections = _sections(spark, folder)
+    pieces = split.split_oversized(sections.select("id", "text", "max_bytes", "overlap_lines"))
+    return pieces.join(sections.select("id", "heading_level", "max_bytes"), "id").withColumnRenamed("id", "chunk_id")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that had to be split."""
+    return split.split_oversized(_sections(spark, folder).select("id", "text", "max_bytes", "overlap_lines")).where("piece_no = 1").select(F.col("id").alias("chunk_id"))
+
+
+P5_FOUND_SQL = """
+SELECT DISTINCT c.id AS chunk_id FROM chunks c
+JOIN (SELECT id, arg_max(collection_id, last_indexed) AS collection_id FROM files GROUP BY id) f ON f.id = c.file_id
+JOIN section_options o ON o.collection_id = f.collection_id
+WHERE octet_length(encode(c.content)) > o.max_section_chars
+"""
+
+
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p4_found": p4_found, "p4_topk": p4_topk, "p5_found": p5_found, "p5_pieces": p5_pieces}
+SQL: dict[str, str] = {"p5_found": P5_FOUND_SQL}
