@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import multiindex, neardup, split
-from corpusloom.runtime import table
+from corpusloom.llm import multiindex, neardup, packing, split, tokens
+from corpusloom.runtime import cut, table
 
 SECTION_WORDS, SECTION_SIMILARITY, SECTION_LEAST = 3, 0.6, 20  # as TESTDATA.md states the problem for chunks
 
@@ -74,5 +74,21 @@ WHERE octet_length(encode(c.content)) > o.max_section_chars
 """
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p4_found": p4_found, "p4_topk": p4_topk, "p5_found": p5_found, "p5_pieces": p5_pieces}
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, source, n_tokens) of all documents; a tokenizer is run once over each text."""
+    docs = table(spark, folder, "documents").select("doc_id", F.lower(F.trim("source")).alias("source"), "text")
+    return cut(tokens.with_tokens(docs))
+
+
+def p6_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in containers of every pack size."""
+    return packing.pack(_sizes(spark, folder).select("doc_id", "n_tokens"), table(spark, folder, "pack_sizes"))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers, tokens and used space per pack size."""
+    return packing.fill_report(p6_pack(spark, folder))
+
+
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p4_found": p4_found, "p4_topk": p4_topk, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_pack": p6_pack, "p6_fill": p6_fill}
 SQL: dict[str, str] = {"p5_found": P5_FOUND_SQL}
