@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import multiindex, neardup, packing, split, tokens
+from corpusloom.llm import mixing, multiindex, neardup, packing, split, tokens
 from corpusloom.runtime import cut, table
 
 SECTION_WORDS, SECTION_SIMILARITY, SECTION_LEAST = 3, 0.6, 20  # as TESTDATA.md states the problem for chunks
@@ -90,5 +90,15 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill_report(p6_pack(spark, folder))
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p4_found": p4_found, "p4_topk": p4_topk, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_pack": p6_pack, "p6_fill": p6_fill}
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """Every mix of mix_targets: the documents of each output shard in order."""
+    return mixing.mix(_sizes(spark, folder), table(spark, folder, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of every source of every mix."""
+    return mixing.mix(_sizes(spark, folder), table(spark, folder, "mix_targets"))[1]
+
+
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p4_found": p4_found, "p4_topk": p4_topk, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares}
 SQL: dict[str, str] = {"p5_found": P5_FOUND_SQL}
