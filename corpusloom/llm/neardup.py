@@ -107,17 +107,19 @@ def _symbols(rows: DataFrame) -> DataFrame:
 def candidates(reps: DataFrame, least_similarity: float) -> DataFrame:
     """(a, b) with a < b: pairs of (id, size, code) that the allocated thresholds let meet and whose sizes allow it."""
     signatures = _signatures(reps)
-    crowded = cut(signatures.groupBy("part", "sig").agg(F.count("*").alias("n")).where(F.col("n") > CROWD))
+    counts = signatures.groupBy("part", "sig").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut(signatures.join(counts, ["part", "sig"]))  # what is not shared meets nobody
     fits = (F.col("q.id") != F.col("x.id")) & (F.least("q.size", "x.size") >= F.ceil(F.greatest("q.size", "x.size") * (least_similarity - 1e-9)))
     pair = [F.least("q.id", "x.id").alias("a"), F.greatest("q.id", "x.id").alias("b")]
-    if crowded.isEmpty():
-        met = signatures.alias("q").join(signatures.alias("x"), ["part", "sig"]).where(fits & (F.col("q.id") < F.col("x.id")))
+    busy = shared.where(F.col("n") > CROWD).select("id").distinct()
+    if busy.isEmpty():
+        met = shared.alias("q").join(shared.alias("x"), ["part", "sig"]).where(fits & (F.col("q.id") < F.col("x.id")))
         return met.select(*pair).distinct()
     # texts with a crowded signature get thresholds of their own
-    busy = signatures.join(crowded.select("part", "sig"), ["part", "sig"], "left_semi").select("id").distinct()
     affected = cut(reps.join(busy, "id", "left_semi"))
     symbols = _symbols(affected)
-    count0 = _signatures(affected).join(signatures.groupBy("part", "sig").agg(F.count("*").alias("n")), ["part", "sig"]).select("id", "part", F.lit(0).alias("t"), "n")
+    every = affected.select("id", F.explode(F.sequence(F.lit(0).cast("byte"), F.lit(PARTS - 1).cast("byte"))).alias("part"))
+    count0 = every.join(shared.select("id", "part", "n"), ["id", "part"], "left").select("id", "part", F.lit(0).alias("t"), F.coalesce("n", F.lit(1)).alias("n"))
     count1 = symbols.join(symbols.groupBy("part", "wide", "sig").agg(F.count("*").alias("n")), ["part", "wide", "sig"]).groupBy("id", "part").agg(F.sum("n").alias("n")).select("id", "part", F.lit(1).alias("t"), "n")
     slot = (F.col("part") * 2 + F.col("t")).cast("int")
     costs = count0.unionByName(count1).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(slot.alias("k"), F.col("n").alias("n")))), lambda s: s["n"]).alias("cost"))
@@ -132,10 +134,10 @@ def candidates(reps: DataFrame, least_similarity: float) -> DataFrame:
 
     chosen = cut(costs.mapInArrow(choose, "id long, part byte, t byte"))
     wide = lambda df, t: df.join(chosen.where(F.col("t") == t).select("id", "part"), ["id", "part"], "left_semi")
-    calm = signatures.join(affected.select("id"), "id", "left_anti")
     columns = ["part", "wide", "sig", "id", "size"]
-    probes = calm.select(columns).unionByName(wide(_signatures(affected), 0).select(columns)).unionByName(wide(symbols, 1).select(columns))
-    index = signatures.unionByName(symbols)
+    calm = shared.join(affected.select("id"), "id", "left_anti")
+    probes = calm.select(columns).unionByName(wide(shared.join(affected.select("id"), "id", "left_semi"), 0).select(columns)).unionByName(wide(symbols, 1).select(columns))
+    index = shared.select(columns).unionByName(symbols)
     return probes.alias("q").join(index.alias("x"), ["part", "wide", "sig"]).where(fits).select(*pair).distinct()
 
 
@@ -172,9 +174,11 @@ def near_duplicates(texts: DataFrame, width: int = 5, least_similarity: float =
     """
     let_workers_import(texts.sparkSession)
     rows = texts.select(F.col("id").cast("long"), "text").where("id is not null and text is not null")
-    coded = cut(codes(rows, width, least).dropDuplicates(["id"]))
-    members = coded.groupBy("same", "size").agg(F.min("id").alias("rep")).join(coded.select("id", "same", "size"), ["same", "size"]).select("id", "rep", "size")
-    reps = coded.join(members.where("id = rep").select("id"), "id", "left_semi").select("id", "size", "code")
+    coded = cut(codes(rows, width, least))
+    # one representative per set; repeated rows of an id fall together here
+    groups = cut(coded.groupBy("same", "size").agg(F.min(F.struct("id", "code")).alias("r")).select("same", "size", F.col("r.id").alias("id"), F.col("r.code").alias("code")))
+    members = coded.select("id", "same", "size").distinct().join(groups.select("same", "size", F.col("id").alias("rep")), ["same", "size"]).select("id", "rep", "size")
+    reps = groups.select("id", "size", "code")
     pairs = cut(candidates(reps, least_similarity))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     full = sets(rows, width, least).join(wanted, "id", "left_semi").dropDuplicates(["id"])
