@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import mixing, multiindex, neardup, packing, split, tokens
+from corpusloom.llm import mixing, mojibake, multiindex, neardup, packing, split, tokens
 from corpusloom.runtime import cut, table
 
 SECTION_WORDS, SECTION_SIMILARITY, SECTION_LEAST = 3, 0.6, 20  # as TESTDATA.md states the problem for chunks
@@ -100,5 +100,15 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_sizes(spark, folder), table(spark, folder, "mix_targets"))[1]
 
 
-QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p4_found": p4_found, "p4_topk": p4_topk, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """Garbled documents with their restored text."""
+    return mojibake.restore(table(spark, folder, "documents").select("doc_id", "source", "text"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with traces of a wrong decoding."""
+    return p8_restored(spark, folder).select("doc_id").distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p4_found": p4_found, "p4_topk": p4_topk, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
 SQL: dict[str, str] = {"p5_found": P5_FOUND_SQL}
