@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import integrity
+from corpusloom.plans import corpus, integrity, search
 
-MODULES = (integrity,)
-FLAGSHIP = "p2_found"
+MODULES = (search, corpus, integrity)
+FLAGSHIP = "hybrid_search"
 
 
 def queries() -> dict:
