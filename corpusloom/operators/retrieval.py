@@ -57,11 +57,10 @@ def rrf(lexical: DataFrame, vector: DataFrame, k: int = 60, boost_top: int = 3,
 
 def diverse_candidates(ranked_rows: DataFrame, most: int, per_file: int) -> DataFrame:
     """First the `per_file` best of every file, however many, then others by rank up to `most` in all. Needs (file, rank)."""
-    first = F.row_number().over(Window.partitionBy("file").orderBy("rank")) <= per_file
-    rows = ranked_rows.withColumn("first", first)
-    n_first = F.sum(F.col("first").cast("int")).over(Window.partitionBy(F.lit(1)))
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("first"), "rank"))
-    return rows.withColumn("place", place).where(place <= F.greatest(F.lit(most), n_first)).drop("first")
+    rows = ranked_rows.withColumn("first", F.row_number().over(Window.partitionBy("file").orderBy("rank")) <= per_file)
+    everything = Window.partitionBy(F.lit(1))  # the candidates of one query, a list bounded by its top k
+    rows = rows.withColumn("n_first", F.sum(F.col("first").cast("int")).over(everything)).withColumn("place", F.row_number().over(everything.orderBy(F.desc("first"), "rank")))
+    return rows.where(F.col("place") <= F.greatest(F.lit(most), F.col("n_first"))).drop("first", "n_first")
 
 
 def dedup_content(rows: DataFrame, content: str = "content", score: str = "score", key: str = "id") -> DataFrame:

@@ -112,10 +112,6 @@ SELECT DISTINCT id, line_no::INTEGER AS line_no, link_type, CASE WHEN link_type
 """
 
 
-def code_references(spark: SparkSession, folder: str) -> DataFrame:
-    return D.code_refs(_docs(spark, folder))
-
-
 def parsed_code_refs(spark: SparkSession, folder: str) -> DataFrame:
     """The raw references of check reports taken apart."""
     refs = table(spark, folder, "ref_results").where("raw is not null").select("id", F.col("raw").alias("text")).distinct()
@@ -125,7 +121,6 @@ def parsed_code_refs(spark: SparkSession, folder: str) -> DataFrame:
 _REF = r"[A-Za-z0-9_./~\-]+\.[A-Za-z0-9_+\-]+:\d+(?:@[A-Za-z0-9]{2,8})?(?:-\d+(?:@[A-Za-z0-9]{2,8})?)?"
 _ONE = r"^(.+):(\d+)(?:@([A-Za-z0-9]+))?(?:-(\d+)(?:@([A-Za-z0-9]+))?)?$"
 _REFS_TAIL = f"""SELECT *, regexp_extract(raw, '{_ONE}', 1) AS path, try_cast(nullif(regexp_extract(raw, '{_ONE}', 2), '') AS INTEGER) AS "start", regexp_extract(raw, '{_ONE}', 3) AS start_token, try_cast(nullif(regexp_extract(raw, '{_ONE}', 4), '') AS INTEGER) AS "end", regexp_extract(raw, '{_ONE}', 5) AS end_token FROM f"""
-CODE_SQL = f"WITH {_LINES}, f AS (SELECT id, line_no::INTEGER AS line_no, unnest(regexp_extract_all(line, '{_REF}')) AS raw FROM li), x AS ({_REFS_TAIL}) SELECT * FROM x WHERE \"start\" >= 1 AND (\"end\" IS NULL OR \"end\" >= \"start\")"
 PARSED_SQL = f"WITH f AS (SELECT id, unnest(regexp_extract_all(raw, '{_REF}')) AS raw FROM ref_results), x AS ({_REFS_TAIL}) SELECT DISTINCT * FROM x WHERE \"start\" >= 1 AND (\"end\" IS NULL OR \"end\" >= \"start\")"
 
 
@@ -212,7 +207,7 @@ PREVIEW_SQL = "WITH p AS (SELECT doc_id AS id, text, array_to_string(list_slice(
 
 QUERIES = {
     "doc_headings": doc_headings, "section_spans": section_spans, "chunk_in_section": chunk_in_section, "row_chunks": row_chunks, "chunk_parents": chunk_parents, "doc_titles": doc_titles, "slugs": slugs,
-    "extracted_links": extracted_links, "code_references": code_references, "parsed_code_refs": parsed_code_refs, "backlink_counts": backlink_counts, "keywords": keywords, "path_parts": path_parts,
+    "extracted_links": extracted_links, "parsed_code_refs": parsed_code_refs, "backlink_counts": backlink_counts, "keywords": keywords, "path_parts": path_parts,
     "glob_filter": glob_filter, "doc_signatures": doc_signatures, "previews": previews,
 }
 SQL = {

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import corpus, integrity, search
+from corpusloom.plans import catalog, corpus, evaluation, integrity, search
 
-MODULES = (search, corpus, integrity)
+MODULES = (search, corpus, catalog, evaluation, integrity)
 FLAGSHIP = "hybrid_search"
 
 

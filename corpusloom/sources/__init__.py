@@ -1 +1 @@
-"""corpusloom.sources"""
+"""Readers and writers: folders of text files, logs, read signals, evaluation cases, folder indexes."""
