@@ -29,7 +29,7 @@ def scan(spark: SparkSession, root: str, patterns: list[str] | None = None, with
     rows = raw.withColumn("relative", relative).where(extension(F.col("relative")).isin(INDEXABLE) & ~ignored(F.col("relative"), [f"{s}/" for s in SKIPPED] + (patterns or [])))
     columns = [path.alias("path"), F.col("relative"), F.unix_seconds("modificationTime").alias("mtime"), F.col("length").alias("size_bytes")]
     if with_text:
-        columns.append(F.decode("content", F.lit("UTF-8")).alias("text"))
+        columns.append(F.decode("content", "UTF-8").alias("text"))
     return rows.select(*columns)
 
 
