@@ -51,7 +51,7 @@ def _sections(spark: SparkSession, folder: str) -> DataFrame:
     files = table(spark, folder, "files").groupBy(F.col("id").alias("file_id")).agg(F.max_by("collection_id", "last_indexed").alias("collection_id"))
     limits = table(spark, folder, "section_options").groupBy("collection_id").agg(F.max("max_section_chars").alias("max_bytes"), F.max("overlap_lines").alias("overlap_lines"))
     chunks = table(spark, folder, "chunks").select("id", "file_id", "heading_level", F.col("content").alias("text"))
-    return chunks.join(files.join(limits, "collection_id").select("file_id", "max_bytes", "overlap_lines"), "file_id").where(F.octet_length("text") > F.greatest(F.col("max_bytes"), F.lit(1))).dropDuplicates(["id"])
+    return chunks.join(files.join(limits, "collection_id").select("file_id", "max_bytes", "overlap_lines"), "file_id").where(F.col("max_bytes").isNotNull() & (F.octet_length("text") > F.greatest(F.col("max_bytes"), F.lit(1)))).dropDuplicates(["id"])
 
 
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:

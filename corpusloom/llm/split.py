@@ -137,7 +137,7 @@ def split_oversized(items: DataFrame) -> DataFrame:
     a null overlap as 0. Repeated rows give repeated pieces, so pass distinct items.
     """
     let_workers_import(items.sparkSession)
-    large = items.where(F.octet_length("text") > F.greatest(F.col("max_bytes"), F.lit(1))).select(F.col("id").cast("long"), "text", F.col("max_bytes").cast("int"), F.coalesce("overlap_lines", F.lit(0)).cast("int").alias("overlap_lines"))
+    large = items.where(F.col("max_bytes").isNotNull() & (F.octet_length("text") > F.greatest(F.col("max_bytes"), F.lit(1)))).select(F.col("id").cast("long"), "text", F.col("max_bytes").cast("int"), F.coalesce("overlap_lines", F.lit(0)).cast("int").alias("overlap_lines"))
     names = ["id", "piece_no", "n_pieces", "start", "overlap_chars", "n_bytes", "text"]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
 
