@@ -60,10 +60,11 @@ def row_chunks(docs: DataFrame, rows_per_chunk: int = 25, min_chars: int = 200,
     joined = (n > 1) & (F.element_at("groups", -1)["size"] < min_chars) & (F.get("groups", n - 2)["size"] >= min_chars)
     last = F.element_at("groups", -1)["b"]
     merged = F.when(joined, F.transform(F.slice("groups", 1, F.greatest(n - 1, F.lit(1))), lambda x: F.struct(x["a"].alias("a"), F.when(x["g"] == n - 2, last).otherwise(x["b"]).alias("b")))).otherwise(F.transform("groups", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
-    out = g.withColumn("groups", merged).select("id", "rows", F.explode("groups").alias("x")).withColumn("char_count", size(F.col("x.a"), F.col("x.b"))).where(F.col("char_count") >= min_chars)
-    a, b = F.greatest(F.col("x.a") - overlap, F.lit(1)), F.least(F.col("x.b") + overlap, F.size("rows"))
-    content = F.array_join(F.transform(F.slice("rows", a, b - a + 1), lambda r: r["s"]), "\n")
-    out = out.select("id", F.element_at("rows", F.col("x.a"))["n"].alias("start_line"), F.element_at("rows", F.col("x.b"))["n"].alias("end_line"), "char_count", content.alias("content"))
+    lo, hi = lambda x: F.greatest(x["a"] - overlap, F.lit(1)), lambda x: F.least(x["b"] + overlap, F.size("rows"))
+    piece = lambda x: F.struct(F.element_at("rows", x["a"])["n"].alias("start_line"), F.element_at("rows", x["b"])["n"].alias("end_line"), size(x["a"], x["b"]).alias("char_count"), F.array_join(F.transform(F.slice("rows", lo(x), hi(x) - lo(x) + 1), lambda r: r["s"]), "\n").alias("content"))
+    # the pieces are cut out before the explode, which would otherwise copy all rows for each of them
+    g = g.select("id", "rows", F.explode(F.array(merged)).alias("groups"))
+    out = g.select("id", F.explode(F.transform("groups", piece)).alias("x")).select("id", "x.*").where(F.col("char_count") >= min_chars)
     return out.withColumn("chunk_order", F.row_number().over(Window.partitionBy("id").orderBy("start_line")) - 1)
 
 
@@ -125,14 +126,18 @@ def keyword_scores(docs: DataFrame, depth: int = 2) -> DataFrame:
     A document that begins with '#' weighs its words three times, as a heading does; words of the file name weigh twice. Terms are words and
     pairs of words. idf is ln(1 + folders / documents that hold the term).
     """
-    # each step is a column of its own below an explode, so nothing is computed again for every word
-    prepared = docs.select("id", directory_key(F.col("path"), depth).alias("directory"), without_urls(F.col("text")).alias("body"), F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "").alias("name"))
-    parts = F.array(F.struct(F.col("body").alias("s"), F.when(F.col("body").startswith("#"), 3).otherwise(1).alias("w")), F.struct(F.col("name").alias("s"), F.lit(2).alias("w")))
-    texts = prepared.select("id", "directory", F.explode(parts).alias("p")).select("id", "directory", F.col("p.w").alias("w"), F.explode(F.array(keyword_tokens(F.col("p.s")))).alias("t"))
-    terms = texts.select("id", "directory", "w", F.explode(F.concat("t", bigrams_of(F.col("t")))).alias("term"))
-    tf = terms.groupBy("id", "directory", "term").agg(F.sum("w").alias("w"))
+    # an explode of one element keeps what is below it from being computed again for every word
+    once = lambda column: F.explode(F.array(column))
+    prepared = docs.select(directory_key(F.col("path"), depth).alias("directory"), without_urls(F.col("text")).alias("body"), F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "").alias("name"))
+    none = F.array().cast("array<string>")
+    words = prepared.select("directory", once(F.struct(F.coalesce(keyword_tokens(F.col("body")), none).alias("t"), F.coalesce(keyword_tokens(F.col("name")), none).alias("n"), F.when(F.col("body").startswith("#"), 3).otherwise(1).alias("w"))).alias("p")).select("directory", "p.*")
+    weigh = lambda c, w: F.transform(F.concat(c, bigrams_of(F.col(c))), lambda x: F.struct(x.alias("term"), w.alias("w")))
+    lined = words.select("directory", once(F.array_sort(F.concat(weigh("t", F.col("w")), weigh("n", F.lit(2))))).alias("s"))
+    # sorted terms tell where a term stands first in its document
+    marked = F.transform("s", lambda x, k: F.struct(x["term"].alias("term"), x["w"].alias("w"), ((k == 0) | (F.get("s", k - 1)["term"] != x["term"])).alias("first")))
+    terms = lined.select("directory", F.explode(marked).alias("x")).select("directory", "x.*")
+    per_dir = terms.groupBy("term", "directory").agg(F.sum("w").alias("w"), F.count_if("first").alias("docs"))
     n_groups = docs.select(directory_key(F.col("path"), depth).alias("d")).distinct().count()
-    per_dir = tf.groupBy("term", "directory").agg(F.sum("w").alias("w"), F.count("*").alias("docs"))
     df = per_dir.groupBy("term").agg(F.sum("docs").alias("df"))
     return per_dir.join(df, "term").select("directory", "term", (F.col("w") * F.log(1.0 + F.lit(float(n_groups)) / F.col("df"))).alias("score"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import scoring as S
 from corpusloom.functions.text import tokens
+from corpusloom.runtime import cut
 
 
 def postings(texts: DataFrame, terms: list[str] | None = None) -> DataFrame:
@@ -24,12 +25,23 @@ def lexical_stats(texts: DataFrame) -> tuple[float, float]:
 
 
 def bm25(texts: DataFrame, query: list[str]) -> DataFrame:
-    """(id, score) of the texts that hold a term of the query. Terms are counted once; null texts are not counted."""
+    """(id, score) of the texts that hold a term of the query. Terms are counted once; null texts are not counted.
+
+    Texts are tokenised once: their length and the counts of the query's terms are all that is kept.
+    """
     terms = sorted({t.lower() for t in query})
-    n, avg_dl = lexical_stats(texts)
-    hits = postings(texts, terms)
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row per query term
-    return hits.join(df, "term").groupBy("id").agg(F.sum(S.bm25_term(F.col("tf"), F.col("dl"), F.col("df"), n, avg_dl)).alias("score"))
+    toks = texts.where("text is not null").select("id", F.explode(F.array(tokens(F.col("text")))).alias("toks"))
+    counts = F.array(*[_count(t) for t in terms])
+    profile = cut(toks.select("id", F.size("toks").alias("dl"), counts.alias("tf")))
+    each = [F.sum((F.get("tf", k) > 0).cast("long")).alias(f"df{k}") for k in range(len(terms))]
+    figures = profile.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"), *each).first()
+    n, avg_dl = float(figures["n"]), float(figures["avg_dl"] or 1.0)
+    weights = [F.when(F.get("tf", k) > 0, S.bm25_term(F.get("tf", k), F.col("dl"), F.lit(float(figures[f"df{k}"] or 0)), n, avg_dl)).otherwise(0.0) for k in range(len(terms))]
+    return profile.where(F.exists("tf", lambda x: x > 0)).select("id", sum(weights, F.lit(0.0)).alias("score"))
+
+
+def _count(term: str) -> Column:
+    return F.size(F.filter("toks", lambda x: x == term))
 
 
 def ranked(scored: DataFrame, k: int, key: str = "id", score: str = "score") -> DataFrame:
