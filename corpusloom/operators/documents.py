@@ -132,7 +132,7 @@ def keyword_scores(docs: DataFrame, depth: int = 2) -> DataFrame:
     none = F.array().cast("array<string>")
     words = prepared.select("directory", once(F.struct(F.coalesce(keyword_tokens(F.col("body")), none).alias("t"), F.coalesce(keyword_tokens(F.col("name")), none).alias("n"), F.when(F.col("body").startswith("#"), 3).otherwise(1).alias("w"))).alias("p")).select("directory", "p.*")
     weigh = lambda c, w: F.transform(F.concat(c, bigrams_of(F.col(c))), lambda x: F.struct(x.alias("term"), w.alias("w")))
-    lined = words.select("directory", once(F.array_sort(F.concat(weigh("t", F.col("w")), weigh("n", F.lit(2))))).alias("s"))
+    lined = words.select("directory", once(F.sort_array(F.concat(weigh("t", F.col("w")), weigh("n", F.lit(2))))).alias("s"))
     # sorted terms tell where a term stands first in its document
     marked = F.transform("s", lambda x, k: F.struct(x["term"].alias("term"), x["w"].alias("w"), ((k == 0) | (F.get("s", k - 1)["term"] != x["term"])).alias("first")))
     terms = lined.select("directory", F.explode(marked).alias("x")).select("directory", "x.*")

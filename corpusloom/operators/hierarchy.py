@@ -144,7 +144,7 @@ def euler_tours(tree: DataFrame) -> DataFrame:
     up = nodes.select(arc(">", "node").alias("arc"), F.coalesce(arc("<", "next"), arc(">", "parent")).alias("to"))
     sign = F.when(F.col("to").startswith("<"), 1).otherwise(-1)
     rank = cut(down.unionByName(up).select("arc", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.when(F.col("to").isNull(), 0).otherwise(sign).cast("long").alias("rise")))
-    open_arcs = rank.where("to is not null and not (to like '>%' and to is null)").count()
+    open_arcs = rank.where("to is not null").count()
     while open_arcs:
         nxt = rank.select(F.col("arc").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"), F.col("rise").alias("rise2"))
         # an arc whose target has no successor keeps that target as its last arc, with nothing to add

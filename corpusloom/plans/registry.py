@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import catalog, corpus, evaluation, integrity, search
+from corpusloom.plans import catalog, corpus, evaluation, inspection, integrity, search
 
-MODULES = (search, corpus, catalog, evaluation, integrity)
+MODULES = (search, corpus, catalog, evaluation, inspection, integrity)
 FLAGSHIP = "hybrid_search"
 
 
