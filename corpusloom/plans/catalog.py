@@ -222,10 +222,10 @@ SELECT file_id, arg_max(path, length(path)) AS folder_path, arg_max(purpose, len
 def reference_status(spark: SparkSession, folder: str) -> DataFrame:
     """Check results per kind and status with mean confidence, totals included (grouping sets)."""
     r = table(spark, folder, "ref_results").dropDuplicates(["id"])
-    return r.rollup("kind", F.coalesce("status", F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence")).select(F.coalesce("kind", F.lit("(all)")).alias("kind"), F.coalesce("status", F.lit("(all)")).alias("status"), "n", "confidence")
+    return r.rollup("kind", F.coalesce("status", F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 9).alias("confidence")).select(F.coalesce("kind", F.lit("(all)")).alias("kind"), F.coalesce("status", F.lit("(all)")).alias("status"), "n", "confidence")
 
 
-STATUS_SQL = "SELECT coalesce(kind, '(all)') AS kind, coalesce(s, '(all)') AS status, count(*) AS n, round(avg(confidence), 6) AS confidence FROM (SELECT DISTINCT ON (id) kind, coalesce(status, 'unknown') AS s, confidence FROM ref_results) GROUP BY ROLLUP (kind, s)"
+STATUS_SQL = "SELECT coalesce(kind, '(all)') AS kind, coalesce(s, '(all)') AS status, count(*) AS n, round(avg(confidence), 9) AS confidence FROM (SELECT DISTINCT ON (id) kind, coalesce(status, 'unknown') AS s, confidence FROM ref_results) GROUP BY ROLLUP (kind, s)"
 
 
 def latency_percentiles(spark: SparkSession, folder: str) -> DataFrame:

@@ -38,12 +38,12 @@ SELECT id, k::INTEGER AS line_no, hits, line FROM h WHERE hits > 0 QUALIFY row_n
 
 
 def filtered_folders(spark: SparkSession, folder: str) -> DataFrame:
-    """Folders with more than ten files and a purpose, with all above them."""
-    return I.filtered_folders(table(spark, folder, "folders"), (F.col("file_count") > 10) & F.col("purpose").isNotNull())
+    """Folders with more than three files and a purpose, with all above them."""
+    return I.filtered_folders(table(spark, folder, "folders"), (F.col("file_count") > 3) & F.col("purpose").isNotNull())
 
 
 FOLDER_SQL = """
-WITH b AS (SELECT DISTINCT collection_id, path, coalesce(file_count > 10 AND purpose IS NOT NULL, false) AS is_match FROM folders)
+WITH b AS (SELECT DISTINCT collection_id, path, coalesce(file_count > 3 AND purpose IS NOT NULL, false) AS is_match FROM folders)
 SELECT * FROM b WHERE EXISTS (SELECT 1 FROM b m WHERE m.is_match AND m.collection_id = b.collection_id AND (m.path = b.path OR starts_with(m.path, b.path || '/')))
 """
 
