@@ -146,3 +146,24 @@ def top_keywords(scores: DataFrame, n: int = 8) -> DataFrame:
     """(directory, place, term, score): the n best terms of each folder; on a tie pairs of words come first, then the alphabet."""
     w = Window.partitionBy("directory").orderBy(F.desc(F.round("score", 9)), F.desc(F.col("term").contains(" ")), "term")
     return scores.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
+def diverse_keywords(scores: DataFrame, n: int = 8) -> DataFrame:
+    """(directory, terms): at most n terms by score without overlaps, of (directory, term, score).
+
+    The best pair of words comes first; then terms follow by score, and a pair takes the place of its single words chosen before it. At
+    most n pairs are chosen and they displace at most two words each, so the first 3 n + 1 terms and the best pair decide the result.
+    """
+    pair = F.col("term").contains(" ")
+    order = [F.desc(F.round("score", 9)), F.desc(pair), "term"]
+    first = scores.withColumn("place", F.row_number().over(Window.partitionBy("directory").orderBy(*order))).where(F.col("place") <= 3 * n + 1)
+    best = scores.where(pair).withColumn("place", F.row_number().over(Window.partitionBy("directory").orderBy(*order))).where("place = 1").select("directory", F.lit(0).alias("place"), "term")
+    rows = first.select("directory", "place", "term").unionByName(best).groupBy("directory").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("rows"))
+
+    def step(chosen: Column, row: Column) -> Column:
+        t = row["term"]
+        others = F.filter(chosen, lambda c: ~F.array_contains(F.split(t, " "), c))
+        grown = F.concat(F.when(t.contains(" "), others).otherwise(chosen), F.array(t))
+        return F.when((F.size(chosen) >= n) | F.array_contains(chosen, t), chosen).otherwise(grown)
+
+    return rows.select("directory", F.aggregate("rows", F.array().cast("array<string>"), step).alias("terms"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import catalog, corpus, evaluation, inspection, integrity, search
+from corpusloom.plans import catalog, corpus, evaluation, inspection, integrity, outline, search
 
-MODULES = (search, corpus, catalog, evaluation, inspection, integrity)
+MODULES = (search, corpus, catalog, evaluation, inspection, outline, integrity)
 FLAGSHIP = "hybrid_search"
 
 
