@@ -116,7 +116,7 @@ def truncate_bytes(text: Column, n: int) -> Column:
     """At most n bytes of UTF-8, the last three dots where something was cut; no character is broken."""
     # a character has at most four bytes, so one of four cuts falls between characters
     cuts = [F.substring(F.encode(text, "UTF-8"), 1, max(n - 3 - k, 0)).cast("string") for k in range(4)]
-    return F.when(F.octet_length(text) <= n, text).otherwise(F.concat(F.rtrim(F.coalesce(*[F.when(F.is_valid_utf8(c), c) for c in cuts])), F.lit("...")))
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.concat(F.rtrim(F.coalesce(*[F.when(F.is_valid_utf8(c), c) for c in cuts], cuts[0])), F.lit("...")))
 
 
 def first_sentence(text: Column) -> Column:

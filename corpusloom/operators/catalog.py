@@ -95,3 +95,25 @@ def churn(decisions: DataFrame, by: str) -> DataFrame:
     """Per group the share of changed entries, and whether 20 % or more of them changed."""
     moved = F.col("decision").isin("new", "deleted", "regenerate").cast("double")
     return decisions.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(moved), 6).alias("churn"), (F.avg(moved) >= 0.2).alias("is_stale"))
+
+
+def renamed(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(path, old_path, file_hash): new paths whose content a deleted path had; of several deleted ones the first by name.
+
+    Old paths are reduced to one per hash before the join, so a hash that a third of the files share stays one row. Null hashes match nothing.
+    """
+    gone = old.join(new.select("path").distinct(), "path", "left_anti").where("file_hash is not null").groupBy("file_hash").agg(F.min("path").alias("old_path"))
+    fresh = new.join(old.select("path").distinct(), "path", "left_anti").select("path", "file_hash").distinct()
+    return fresh.join(gone, "file_hash").select("path", "old_path", "file_hash")
+
+
+def without_collection(members: DataFrame, collections: DataFrame, removed: int) -> DataFrame:
+    """(path, primary_id, is_orphan) for paths of a removed collection: who is primary now; orphans have no collection left.
+
+    `members` are (path, collection_id, is_primary). The primary stays unless it is the removed one; then the deepest root takes over.
+    """
+    hit = members.where(F.col("collection_id") == removed).select("path").distinct()
+    roots = collections.select(F.col("id").alias("collection_id"), F.length("path").alias("depth"), "name")
+    rest = members.where(F.col("collection_id") != removed).join(hit, "path", "left_semi").join(roots, "collection_id")
+    best = rest.groupBy("path").agg(F.min_by("collection_id", F.struct((~F.col("is_primary")).alias("a"), (-F.col("depth")).alias("b"), "name", "collection_id")).alias("primary_id"))
+    return hit.join(best, "path", "left").select("path", "primary_id", F.col("primary_id").isNull().alias("is_orphan"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import catalog as C
+from corpusloom.operators import coderefs as R
 from corpusloom.operators import documents as D
 from corpusloom.operators import inspection as I
 from corpusloom.plans.catalog import freshness_decisions
@@ -52,15 +53,32 @@ def stale_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return I.stale_hashes(table(spark, folder, "chunks"))
 
 
-def checked_code_refs(spark: SparkSession, folder: str) -> DataFrame:
-    """The code references of check reports against the lines of the indexed chunks of their targets."""
+def _refs_and_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     refs = table(spark, folder, "ref_results").where("kind = 'code_ref' and raw is not null and resolved_path is not null").select("id", F.col("raw").alias("text"), "resolved_path").distinct()
-    parsed = D.code_refs(refs.select("id", "text")).join(refs.select("id", "resolved_path"), "id").select("id", "raw", F.col("resolved_path").alias("path"), "start", "start_token")
+    parsed = D.code_refs(refs.select("id", "text")).drop("path").join(refs.select("id", F.col("resolved_path").alias("path")), "id")
     files = latest_files(spark, folder).select("file_id", "path")
     wanted = files.join(parsed.select("path").distinct(), "path", "left_semi")
     chunks = distinct_chunks(spark, folder).where("content is not null").join(wanted, "file_id")
     lines = chunks.select("path", "start_line", F.posexplode(F.split("content", "\n")).alias("k", "line")).select("path", (F.col("start_line") + F.col("k")).alias("line_no"), "line")
-    return I.check_code_refs(parsed, lines)
+    return refs, parsed, lines
+
+
+def checked_code_refs(spark: SparkSession, folder: str) -> DataFrame:
+    """The code references of check reports against the lines of the indexed chunks of their targets."""
+    _, parsed, lines = _refs_and_lines(spark, folder)
+    return I.check_code_refs(parsed.select("id", "raw", "path", "start", "start_token"), lines)
+
+
+def validated_code_refs(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with ranges, places found anew, suggestions and confidence."""
+    _, parsed, lines = _refs_and_lines(spark, folder)
+    return R.validate(parsed, lines)
+
+
+def rewritten_refs(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of those references with the suggestions put in."""
+    refs, parsed, lines = _refs_and_lines(spark, folder)
+    return R.rewrite(refs.select("id", "text").distinct(), R.validate(parsed, lines))
 
 
 def churn_by_source(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,5 +93,5 @@ x AS (SELECT source, id % 7 = 0 OR id % 11 = 0 OR (id % 3 = 0 AND (id % 5 = 0 OR
 SELECT source, count(*) AS n, round(avg(moved::INTEGER), 6) AS churn, avg(moved::INTEGER) >= 0.2 AS is_stale FROM x GROUP BY source
 """
 
-QUERIES = {"authority_scores": authority_scores, "best_lines": best_lines, "filtered_folders": filtered_folders, "stale_hashes": stale_hashes, "checked_code_refs": checked_code_refs, "churn_by_source": churn_by_source}
+QUERIES = {"authority_scores": authority_scores, "best_lines": best_lines, "filtered_folders": filtered_folders, "stale_hashes": stale_hashes, "checked_code_refs": checked_code_refs, "validated_code_refs": validated_code_refs, "rewritten_refs": rewritten_refs, "churn_by_source": churn_by_source}
 SQL = {"authority_scores": AUTHORITY_SQL, "best_lines": BEST_SQL, "filtered_folders": FOLDER_SQL, "churn_by_source": CHURN_SQL}
