@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import catalog, corpus, evaluation, folders, inspection, integrity, outline, search
+from corpusloom.plans import catalog, corpus, evaluation, folders, inspection, integrity, maintenance, outline, search
 
-MODULES = (search, corpus, catalog, evaluation, inspection, outline, folders, integrity)
+MODULES = (search, corpus, catalog, evaluation, inspection, outline, folders, maintenance, integrity)
 FLAGSHIP = "hybrid_search"
 
 
