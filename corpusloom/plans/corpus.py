@@ -9,11 +9,11 @@ from corpusloom.functions import text as T
 from corpusloom.functions.paths import basename, extension, parent_of, resolve, slug
 from corpusloom.operators import documents as D
 from corpusloom.operators.references import file_ids
-from corpusloom.runtime import table
+from corpusloom.runtime import spread, table
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "path", "text")
+    return spread(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "path", "text"), "id")
 
 
 def doc_headings(spark: SparkSession, folder: str) -> DataFrame:

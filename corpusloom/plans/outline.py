@@ -9,11 +9,11 @@ from corpusloom.operators import documents as D
 from corpusloom.operators import outline as O
 from corpusloom.plans.corpus import _HEADS, _SLUG, TITLES_SQL
 from corpusloom.plans.search import TERMS
-from corpusloom.runtime import table
+from corpusloom.runtime import spread, table
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "path", "text")
+    return spread(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "path", "text"), "id")
 
 
 def section_chunks(spark: SparkSession, folder: str) -> DataFrame:

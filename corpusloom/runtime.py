@@ -16,6 +16,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df by hash of the key where its scan has fewer partitions than the session has cores, as a small table of one file has.
+
+    Anything larger stays as it is read, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def let_workers_import(spark: SparkSession) -> None:
     """Python workers on this machine find the package; on a cluster ship it with --py-files."""
     env = spark.sparkContext.environment
