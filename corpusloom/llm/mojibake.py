@@ -62,12 +62,18 @@ _WIDTH = _OTHER + 1
 
 
 def bigrams(texts: DataFrame) -> DataFrame:
-    """(key, n) over all texts: key is first * _WIDTH + second, each text between two blanks."""
+    """(source, key, n) over all texts: key is first * _WIDTH + second, each text between two blanks; source is null.
+
+    Rows with a source have its number of words, under the key -1.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        total, words = None, Counter()
         for pdf in batches:
-            docs, k = pdf["text"].dropna().tolist(), 0
+            pdf = pdf.dropna(subset=["text"])
+            docs, k = pdf["text"].tolist(), 0
+            for source, text in zip(pdf["source"], docs):
+                words[source] += len(text.split())
             while k < len(docs):
                 size, start = 0, k
                 while k < len(docs) and size < 4_000_000:
@@ -79,9 +85,10 @@ def bigrams(texts: DataFrame) -> DataFrame:
                 part = pd.Series(n[at], index=at)
                 total = part if total is None else total.add(part, fill_value=0)
         if total is not None:
-            yield pd.DataFrame({"key": total.index.astype("int64"), "n": total.to_numpy().astype("int64")})
+            yield pd.DataFrame({"source": None, "key": total.index.astype("int64"), "n": total.to_numpy().astype("int64")})
+        yield pd.DataFrame([(s, -1, n) for s, n in words.items()], columns=["source", "key", "n"])
 
-    return texts.select("text").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.select("source", "text").mapInPandas(run, "source string, key long, n long").groupBy("source", "key").agg(F.sum("n").alias("n"))
 
 
 class Letters:
@@ -333,13 +340,14 @@ _LOST = re.compile("[�\x80-\x9f
 
 def learn(spark, texts: DataFrame):
     """Fit the model to (source, text): bigrams of everything, then EM over the suspicious words."""
-    counted = cut(bigrams(texts)).toPandas()  # at most as many as pairs of characters in the fixed range
+    counted = cut(bigrams(texts)).toPandas()  # at most as many as pairs of characters in the fixed range, and a row for each source
+    sizes = counted[counted["key"] == -1]
+    totals = dict(zip(sizes["source"], sizes["n"].astype(float)))
+    counted = counted[counted["key"] != -1]
     keys, counts = counted["key"].to_numpy(), counted["n"].to_numpy().astype(float)
     model = Model(Letters(keys, counts))
     table = cut(suspicious(texts, spark.sparkContext.broadcast(model)))
-    totals = {r["source"]: r["n"] for r in table.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    spaces = max(float(counts[keys // _WIDTH == 32].sum()), 1.0)
-    everything = {**totals, "": spaces}
+    everything = {**totals, "": max(sum(totals.values()), 1.0)}
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
 
@@ -384,8 +392,7 @@ def _next(keys: np.ndarray, counts: np.ndarray, got: pd.DataFrame, totals: dict)
         model.share["", name] = v / totals[""]
     for source, name, v in zip(shares["source"], shares["a"], shares["v"]):
         overall = model.share["", name]
-        n = totals[""] / max(1, shares["source"].nunique())
-        model.share[source, name] = (v + 20 * overall) / (n + 20)
+        model.share[source, name] = (v + 20 * overall) / (totals[source] + 20)
     m = got[got["what"] == "meaning"]
     by_symbol = m.groupby("a")["v"].sum()
     for (s, c), v in m.groupby(["a", "b"])["v"].sum().items():

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusloom.llm import mojibake as M
@@ -57,3 +59,14 @@ def test_nothing(spark):
 def test_query_columns(spark, data):
     assert p8_found(spark, data).columns == ["doc_id"]
     assert p8_restored(spark, data).where("log_odds <= 1").count() == 0
+
+
+def test_share_is_of_the_sources_own_words(spark):
+    rows = [(k, "large", "some plain words of a large source") for k in range(300)] + [(1000, "small", "two words"), (1001, "small", "caf\u00e9 too")]
+    counted = M.bigrams(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("key = -1").collect()
+    words = {r["source"]: r["n"] for r in counted}
+    assert words == {"large": 2100, "small": 4}
+    got = pd.DataFrame([("share", "small", "cp1252<utf8", "", 0, 80.0), ("share", "large", "cp1252<utf8", "", 0, 10.0)], columns=["what", "source", "a", "b", "key", "v"])
+    model = M._next(np.array([0]), np.array([1.0]), got, {"small": 100.0, "large": 9900.0, "": 10_000.0})
+    assert model.share["small", "cp1252<utf8"] > 0.6
+    assert model.share["large", "cp1252<utf8"] < 0.0015
