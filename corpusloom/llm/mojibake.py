@@ -6,7 +6,9 @@ bigrams of the corpus say how well a reading of a word fits, the mapping so far
 letter there, and the readings' weights give the next mapping and take garbled words out of the bigrams. Which letters a symbol
 may mean at all is limited to what the code pages below allow, one pair of pages for a whole word.
 
-Three passes over the texts: bigrams, suspicious words with their counts, and the final reading. Models are small tables: bigrams over a
+Three passes over the texts: bigrams, non-ASCII words with their counts, and the final reading. Every round of EM reads these words
+anew with the bigrams as cleaned so far. The first bigrams leave out words with upper-half sequences, and a large source is first
+read with the bigrams of the others, so that neither a common decoding nor a garbled source passes for correct. Models are small tables: bigrams over a
 fixed character range, and weights per source for pairs of pages. The readings are applied with str.translate().
 """
 
@@ -117,6 +119,17 @@ class Letters:
         total = np.concatenate([[0.0], np.cumsum(self.each(key), dtype=np.float64)])
         return total[ends] - total[starts]
 
+    def plausible(self, readings: dict[str, list[tuple[str, str]]], least: float) -> dict[str, list[tuple[str, str]]]:
+        """The readings all of whose bigrams have at least this log probability; only words that have some."""
+        flat = [(w, name, r) for w, options in readings.items() for name, r in options]
+        out: dict = {}
+        if flat:
+            key, starts, _ = _pairs([r for _, _, r in flat])
+            for (w, name, r), worst in zip(flat, np.minimum.reduceat(self.each(key), starts)):
+                if worst >= least:
+                    out.setdefault(w, []).append((name, r))
+        return out
+
 
 def _pairs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bigrams of the words, each between two blanks, and where those of each word begin and end."""
@@ -197,6 +210,7 @@ def _undo_utf8(word: str, page: str) -> tuple[str, list[tuple[str, str]]]:
     return pattern.sub(letter, word), pairs
 
 
+@lru_cache(maxsize=1 << 16)
 def _nested(word: str) -> list[tuple[str, str]]:
     """(pages, restored word) of every way to undo UTF-8 read with another page, up to LEVELS times over."""
     out, seen, todo = [], {word}, [(word, "", 0)]
@@ -212,7 +226,6 @@ def _nested(word: str) -> list[tuple[str, str]]:
     return out
 
 
-RARE = -4.5  # a word all of whose bigrams are likelier than this reads well as it is
 KEPT = 5  # single-byte readings of a word that are followed further, the best ones
 
 
@@ -225,11 +238,6 @@ def candidates(letters: Letters, words: list[str], least: float) -> dict[str, li
     for k in range(0, len(words), 20_000):
         part = words[k : k + 20_000]
         key, starts, ends = _pairs(part)
-        odd = np.minimum.reduceat(letters.each(key), starts) < RARE
-        part = [w for w, o in zip(part, odd) if o]
-        if not part:
-            continue
-        key, starts, ends = _pairs(part)
         uniq, inverse = np.unique(key, return_inverse=True)
         base, gain = letters.each(uniq), []
         for t in _swap_ids():
@@ -304,8 +312,8 @@ def _words(text: str) -> list[str]:
 LEAST_GAIN = 2.0
 
 
-def suspicious(texts: DataFrame, model) -> DataFrame:
-    """(source, word, pages, restored, n): words that other readings fit better, with those readings and their number of uses."""
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """(source, word, n): all words that are not plain ASCII with their number of uses."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -314,12 +322,38 @@ def suspicious(texts: DataFrame, model) -> DataFrame:
                 if text and not text.isascii():
                     for w in _words(text):
                         count[source, w] += 1
-            better = candidates(model.value.letters, list({w for _, w in count}), LEAST_GAIN)
-            rows = [(s, w, [p for p, _ in better.get(w, ())], [r for _, r in better.get(w, ())], n) for (s, w), n in count.items() if w in better or _LOST.search(w)]
-            yield pd.DataFrame(rows, columns=["source", "word", "pages", "restored", "n"])
+            yield pd.DataFrame([(s, w, n) for (s, w), n in count.items()], columns=["source", "word", "n"])
 
-    rows = texts.select("source", "text").mapInPandas(run, "source string, word string, pages array<string>, restored array<string>, n long")
-    return rows.groupBy("source", "word").agg(F.first("pages").alias("pages"), F.first("restored").alias("restored"), F.sum("n").alias("n"))
+    rows = texts.select("source", "text").mapInPandas(run, "source string, word string, n long").groupBy("source", "word").agg(F.sum("n").alias("n"))
+    return rows.repartition("word").sortWithinPartitions("word")  # a word of many sources is read once in a batch
+
+
+DOMINANT = 0.05  # share of all words from which a source is first read with the bigrams of the others
+PLAUSIBLE = -8.0  # the rarest bigram of a reading by the first bigrams, which lack some correct ones
+# beside common punctuation, signs next to letters or signs, long runs of accented letters, Cyrillic with capitals inside or rare letters in a row
+_SIGN, _LETTER = "[^\\x00-\\x7f\\w“”‘’«»…–—•]", "[^\\x00-\\x7f\\W]"
+_SEQUENCE = re.compile(f"{_LETTER}{_SIGN}|{_SIGN}{_LETTER}|{_SIGN}{_SIGN}|[\\u00aa-\\u024f]{{3}}|[а-яё][А-ЯЁ]|[Ѐ-ЏѢ-ӿђ-џ]{{2}}")
+
+
+def start(keys: np.ndarray, counts: np.ndarray, table: DataFrame, totals: dict) -> dict[str, Model]:
+    """The first models: at "" without words that have upper-half sequences, and for each dominant source also without its own words."""
+    large = {s for s, n in totals.items() if n > DOMINANT * sum(totals.values())}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = defaultdict(float)
+        for pdf in batches:
+            for source, w, n in zip(pdf["source"], pdf["word"], pdf["n"]):
+                part = "" if _SEQUENCE.search(w) else source if source in large else None
+                if part is not None:
+                    x = encode(" " + w + " ").astype(np.int64)
+                    for key in (x[:-1] * _WIDTH + x[1:]).tolist():
+                        sums[part, key] += n
+        yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["source", "key", "v"])
+
+    got = table.mapInPandas(run, "source string, key long, v double").groupBy("source", "key").agg(F.sum("v").alias("v")).toPandas()
+    without = lambda n, source: np.maximum(n - got[got["source"] == source].set_index("key")["v"].reindex(keys).fillna(0).to_numpy(), 0)
+    plain = without(counts, "")
+    return {"": Model(Letters(keys, plain))} | {s: Model(Letters(keys, without(plain, s))) for s in large}
 
 
 @lru_cache(maxsize=1)
@@ -338,48 +372,58 @@ def _swap_ids() -> list[np.ndarray]:
 _LOST = re.compile("[�\x80-\x9f￾￿]|[\U000f0000-\U0010ffff]")
 
 
+def _expect(m: Model, source: str, w: str, n: int, options: list[tuple[str, str, float]], sums: dict) -> None:
+    """E-step for one word of a source with n uses: adds the weights of its readings to the sums."""
+    logs = [g + m.prior(source, name) for name, _, g in options]
+    top = max([0.0, *logs])
+    z = np.exp(-top) + sum(np.exp(x - top) for x in logs)
+    garbled = 0.0
+    for (name, _, _), x in zip(options, logs):
+        p = float(np.exp(x - top) / z)
+        if p < 1e-4:
+            continue
+        garbled += p
+        sums["share", source, name, "", 0] += n * p
+        for s, c in set(symbols(w, name)):
+            sums["meaning", source, s, c, 0] += n * p
+    if garbled > 1e-3 or _LOST.search(w):
+        g = 1.0 if _LOST.search(w) else garbled
+        x = encode(" " + w + " ").astype(np.int64)
+        for key in (x[:-1] * _WIDTH + x[1:]).tolist():
+            sums["bigram", "", "", "", key] += n * g
+
+
 def learn(spark, texts: DataFrame):
-    """Fit the model to (source, text): bigrams of everything, then EM over the suspicious words."""
+    """Fit the model to (source, text): bigrams of everything, then EM over the words."""
     counted = cut(bigrams(texts)).toPandas()  # at most as many as pairs of characters in the fixed range, and a row for each source
     sizes = counted[counted["key"] == -1]
     totals = dict(zip(sizes["source"], sizes["n"].astype(float)))
     counted = counted[counted["key"] != -1]
     keys, counts = counted["key"].to_numpy(), counted["n"].to_numpy().astype(float)
-    model = Model(Letters(keys, counts))
-    table = cut(suspicious(texts, spark.sparkContext.broadcast(model)))
+    table = cut(vocabulary(texts))
+    models = start(keys, counts, table, totals)
     everything = {**totals, "": max(sum(totals.values()), 1.0)}
     for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast(models)
 
         def expect(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            m, sums = shared.value, defaultdict(float)
+            sums: dict = defaultdict(float)
             for pdf in batches:
-                for source, part in pdf.groupby("source", dropna=False):
-                    words, ns = part["word"].tolist(), part["n"].tolist()
-                    readings = [list(zip(p, r)) for p, r in zip(part["pages"], part["restored"])]
-                    for w, n, options in zip(words, ns, m.weigh(source, words, readings)):
-                        logs = [g + m.prior(source, name) for name, _, g in options]
-                        top = max([0.0, *logs])
-                        z = np.exp(-top) + sum(np.exp(x - top) for x in logs)
-                        garbled = 0.0
-                        for (name, _, _), x in zip(options, logs):
-                            p = float(np.exp(x - top) / z)
-                            if p < 1e-4:
-                                continue
-                            garbled += p
-                            sums["share", source, name, "", 0] += n * p
-                            for s, c in set(symbols(w, name)):
-                                sums["meaning", source, s, c, 0] += n * p
-                        if garbled > 1e-3 or _LOST.search(w):
-                            g = 1.0 if _LOST.search(w) else garbled
-                            x = encode(" " + w + " ").astype(np.int64)
-                            for key in (x[:-1] * _WIDTH + x[1:]).tolist():
-                                sums["bigram", "", "", "", key] += n * g
+                for which, rows in pdf.groupby(pdf["source"].where(pdf["source"].isin(list(shared.value)), "")):
+                    m = shared.value[which]
+                    better = candidates(m.letters, rows["word"].unique().tolist(), LEAST_GAIN)
+                    if not m.share:
+                        better = m.letters.plausible(better, PLAUSIBLE)
+                    odd = rows[[w in better or bool(_LOST.search(w)) for w in rows["word"]]]
+                    for source, part in odd.groupby("source"):
+                        words, ns = part["word"].tolist(), part["n"].tolist()
+                        for w, n, options in zip(words, ns, m.weigh(source, words, [better.get(w, []) for w in words])):
+                            _expect(m, source, w, n, options, sums)
             yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["what", "source", "a", "b", "key", "v"])
 
         got = table.mapInPandas(expect, "what string, source string, a string, b string, key long, v double").groupBy("what", "source", "a", "b", "key").agg(F.sum("v").alias("v")).toPandas()
-        model = _next(keys, counts, got, everything)
-    return spark.sparkContext.broadcast(model), table
+        models = {"": _next(keys, counts, got, everything)}
+    return spark.sparkContext.broadcast(models[""])
 
 
 def _next(keys: np.ndarray, counts: np.ndarray, got: pd.DataFrame, totals: dict) -> Model:
@@ -438,7 +482,7 @@ def restore(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     let_workers_import(spark)
     docs = docs.select("doc_id", F.coalesce(F.lower(F.trim("source")), F.lit("?")).alias("source"), "text").where("text is not null")
-    model, _ = learn(spark, docs.select("source", "text"))
+    model = learn(spark, docs.select("source", "text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

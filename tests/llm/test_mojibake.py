@@ -70,3 +70,18 @@ def test_share_is_of_the_sources_own_words(spark):
     model = M._next(np.array([0]), np.array([1.0]), got, {"small": 100.0, "large": 9900.0, "": 10_000.0})
     assert model.share["small", "cp1252<utf8"] > 0.6
     assert model.share["large", "cp1252<utf8"] < 0.0015
+
+
+def test_a_large_source_garbled_alike_is_found(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where("text is not null").select("doc_id", "source", "text").collect()
+    letter = lambda c: c.encode("cp1251").decode("latin-1") if "а" <= c.lower() <= "я" else c
+    rng, rows, planted = random.Random(1), [], set()
+    for r in docs:
+        text = "".join(map(letter, r["text"])) if rng.random() < 0.6 else r["text"]
+        source = "imported" if text != r["text"] else r["source"]
+        if sum(a != b for a, b in zip(text, r["text"])) > 20:
+            planted.add(r["doc_id"])
+        rows.append((r["doc_id"], source, text))
+    found = {r["doc_id"] for r in M.restore(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert len(planted) > 20
+    assert len(planted & found) >= 0.9 * len(planted)
