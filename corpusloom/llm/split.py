@@ -72,40 +72,65 @@ def _lines(text: str) -> Iterator[tuple[str, int]]:
         yield line, strength
 
 
-def _overlaps(text: str, starts: list[int], lines: int, most: int) -> list[str]:
-    """For each start in the text: the lines before it, cut from the front at a word to at most `most` bytes."""
-    out = []
-    for s in starts:
-        at, n = s, 0
-        while at > 0 and n < lines and s - at <= most:
-            at = text.rfind("\n", 0, at - 1) + 1
-            n += 1
-        tail = text[max(at, s - most) : s]
-        while _size(tail) > most:
-            tail = tail[max(1, (_size(tail) - most) // 4) :]
-        if len(tail) < s - at and (cut := re.search(r"\s(?=\S)", tail)):
-            tail = tail[cut.end() :]
-        out.append(tail)
-    return out
+def _lap(text: str, s: int, lines: int, limit: int, room: int) -> int:
+    """Where the overlap of a piece at s begins: `lines` lines before it if they leave `room` bytes of the limit.
+
+    Where they do not, they are cut from the front at a word to a third of the limit, and left out if that is too much too.
+    """
+    at, n, low = s, 0, max(0, s - limit - 1)
+    while at > low and n < lines:
+        at = max(low, text.rfind("\n", low, at - 1) + 1)
+        n += 1
+    if s - at <= limit and _size(text[at:s]) + room <= limit:
+        return at
+    cut = max(at, s - limit // 3)
+    while _size(text[cut:s]) > limit // 3:
+        cut += max(1, (_size(text[cut:s]) - limit // 3) // 4)
+    if cut > at and (m := re.search(r"\s(?=\S)", text[cut:s])):
+        cut += m.end()
+    return cut if _size(text[cut:s]) + room <= limit else s
+
+
+def _segments(text: str, limit: int, lines: int) -> Iterator[tuple[str, int, int]]:
+    """(segment, strength, begin of its overlap): lines, broken further only where one does not fit beside its overlap."""
+    s = 0
+    for line, strength in _lines(text):
+        todo = [(line, strength)]
+        while todo:
+            part, k = todo.pop()
+            size, at = _size(part), _lap(text, s, lines, limit, 1)
+            if _size(text[at:s]) + size > limit:
+                finer = next((p for p in ((_cuts(part, _SENTENCE), SENTENCE), (_cuts(part, _WORD), WORD)) if len(p[0]) > 1), None)
+                if finer:
+                    parts, inner = finer
+                    todo += [(p, inner if i else k) for i, p in reversed(list(enumerate(parts)))]
+                    continue
+                most = max(1, limit - (limit // 3 if lines > 0 else 0))
+                if size > most:  # a run of characters
+                    first, *rest = [x for x, _ in _break(part, most, k)]
+                    if rest:
+                        todo += [(x, CHARACTER) for x in reversed(rest)]
+                    part, size = first, _size(first)
+                at = _lap(text, s, lines, limit, size)
+            yield part, k, at
+            s += len(part)
 
 
 def split_text(text: str, limit: int, overlap_lines: int) -> list[tuple[int, str, str]]:
     """(start, overlap, own text) of the pieces in order; the own texts put together are the text.
 
     overlap + own text never exceed `limit` UTF-8 bytes, except that a piece is at least one character. The overlap is the
-    last `overlap_lines` lines before the piece, no more than a third of the limit.
+    last `overlap_lines` lines before the piece; where no word fits beside them, at most a third of the limit of them.
     """
     limit = max(1, limit)
     if _size(text) <= limit:
         return [(0, "", text)]
-    share = limit // 3 if overlap_lines > 0 else 0
-    most = max(1, limit - share)
-    segments = [x for line, strength in _lines(text) for x in _break(line, most, strength)]
-    own, sizes, strength = [s for s, _ in segments], [_size(s) for s, _ in segments], [k for _, k in segments]
-    starts = [0]
-    for s in own[:-1]:
-        starts.append(starts[-1] + len(s))
-    before = [_size(x) for x in _overlaps(text, starts, overlap_lines, share)] if share else [0] * len(own)
+    segments = list(_segments(text, limit, overlap_lines))
+    own, strength, laps = [x for x, _, _ in segments], [k for _, k, _ in segments], [at for _, _, at in segments]
+    sizes, starts = [_size(x) for x in own], [0]
+    for x in own[:-1]:
+        starts.append(starts[-1] + len(x))
+    before = [_size(text[at:x]) for at, x in zip(laps, starts)]
     n = len(own)
     nxt, prv, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     entry = lambda i: (strength[nxt[i]], sizes[i] + sizes[nxt[i]], i, nxt[i])
@@ -125,8 +150,7 @@ def split_text(text: str, limit: int, overlap_lines: int) -> list[tuple[int, str
             heapq.heappush(heap, entry(prv[i]))
     heads = [i for i in range(n) if alive[i]]
     bounds = [starts[i] for i in heads] + [len(text)]
-    laps = _overlaps(text, bounds[:-1], overlap_lines, share) if share else [""] * len(heads)
-    return [(a, lap if _size(lap) + sizes[i] <= limit else "", text[a:b]) for i, a, b, lap in zip(heads, bounds, bounds[1:], laps)]
+    return [(a, text[laps[i] : a], text[a:b]) for i, a, b in zip(heads, bounds, bounds[1:])]
 
 
 def split_oversized(items: DataFrame) -> DataFrame:

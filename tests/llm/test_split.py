@@ -25,6 +25,16 @@ def test_boundaries_and_overlap():
     assert split_text(text, 45, 1)[1][1] in ("\n", "second line\n\n")
 
 
+def test_overlap_is_whole_lines_that_fit():
+    lines = [f"line {k} " + "word " * 12 + "\n" for k in range(40)]
+    text = "".join(lines)
+    for limit, n in ((400, 3), (400, 5), (300, 3)):
+        for start, lap, own in split_text(text, limit, n)[1:]:
+            whole = text[:start].splitlines(keepends=True)[-n:]
+            assert lap == "".join(whole)
+            assert len(lap + own) <= limit
+
+
 def test_long_texts(spark):
     rows = [(1, "word " * 100_000, 2000, 3), (2, "y" * 300_000, 2000, 0), (3, None, 10, 1), (4, "", 10, 1), (5, "small", 10, 1), (6, "abc", None, 1), (7, "abcdef", 2, None), (8, "é" * 10, 0, 0)]
     got = split_oversized(spark.createDataFrame(rows, "id long, text string, max_bytes int, overlap_lines int")).collect()
