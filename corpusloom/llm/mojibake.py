@@ -3,13 +3,16 @@
 Every wrong decoding is read as a substitution cipher: what stands in the text are symbols (characters, or short runs of them for
 multi-byte encodings) in place of letters. Which symbol means which letter is learned per source by expectation-maximization: letter
 bigrams of the corpus say how well a reading of a word fits, the mapping so far says how common it is that a symbol means a
-letter there, and the readings' weights give the next mapping and take garbled words out of the bigrams. Which letters a symbol
-may mean at all is limited to what the code pages below allow, one pair of pages for a whole word.
+letter there, and the readings' weights give the next mapping and take garbled words out of the bigrams.
 
-Three passes over the texts: bigrams, non-ASCII words with their counts, and the final reading. Every round of EM reads these words
-anew with the bigrams as cleaned so far. The first bigrams leave out words with upper-half sequences, and a large source is first
-read with the bigrams of the others, so that neither a common decoding nor a garbled source passes for correct. Models are small tables: bigrams over a
-fixed character range, and weights per source for pairs of pages. The readings are applied with str.translate().
+The first bigrams are those of words that only hold letters of the language of their document, so no decoding, however common, passes
+for correct because it is common. Two kinds of ciphers are then learned. Where a known pair of code pages reads a word well, EM starts from
+the mapping of that pair and learns its share and its symbols per source. Words that no known pair reads get a free mapping per source
+and language: every letter may stand for every symbol at first, and forward-backward passes over the words settle it.
+
+Passes over the texts: bigrams, non-ASCII words with their counts, and the final reading; all rounds of EM read the words only. Models are
+small tables: bigrams over a fixed character range, and per source weights of pages and of symbols. The readings are applied with
+str.translate().
 """
 
 from __future__ import annotations
@@ -31,14 +34,14 @@ from corpusloom.runtime import cut, let_workers_import
 LATIN = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "iso8859_2", "cp852")
 CYRILLIC = ("cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic")
 PAGES = LATIN + CYRILLIC
-ROUNDS = 3  # of expectation-maximization
-LEVELS = 3  # wrong decodings undone one after another
+ROUNDS = 3  # of expectation-maximization over readings by pages
 FOUND = 1.0  # log odds from which a document counts as garbled
 START, FLOOR = 1e-3, 1e-5  # share of words that a page pair is believed to have garbled at first, and at least
 RUN = 20  # garbled words of a garbled document, by which a share of words is a share of documents
 CHANCE = 2.0  # characters of the upper half form a UTF-8 sequence by chance about one time in eight
 _OTHER = 3000
 _SPLIT = re.compile(r"[ \t\n\r\f\v]+")
+_ANY_LETTER = re.compile(r"[^\W\d_]")
 
 
 # -- characters as numbers -----------------------------------------------------------------------------------------------------
@@ -158,14 +161,12 @@ def _upper_half() -> dict[str, dict[int, str]]:
 
 @lru_cache(maxsize=1)
 def swaps() -> dict[str, dict[int, str]]:
-    """'read<written' -> translate() table, for each two single-byte pages of one script that differ."""
+    """'read<written' -> translate() table, for each two single-byte pages that differ."""
     out = {}
     for read, r in _upper_half().items():
         for written, w in _upper_half().items():
             table = {ord(r[b]): w[b] for b in r if r[b] != w[b] and w[b].isalpha() or (r[b] != w[b] and b >= 0x80 and w[b] in "“”‘’–—…•€™°±µ×·«»¿¡§")}
-            # Latin pages for each other, Cyrillic ones for each other, and either read with a Western or Cyrillic one
-            meant = (read in LATIN) == (written in LATIN) or read in ("cp1252", "mac_roman", "cp437", "cp850", "cp1251")
-            if read != written and table and meant:
+            if read != written and table:
                 out[f"{read}<{written}"] = table
     return out
 
@@ -212,27 +213,25 @@ def _undo_utf8(word: str, page: str) -> tuple[str, list[tuple[str, str]]]:
 
 @lru_cache(maxsize=1 << 16)
 def _nested(word: str) -> list[tuple[str, str]]:
-    """(pages, restored word) of every way to undo UTF-8 read with another page, up to LEVELS times over."""
-    out, seen, todo = [], {word}, [(word, "", 0)]
+    """(pages, restored word) of every way to undo UTF-8 read with another page, as many times over as it goes; each time shortens the word."""
+    out, seen, todo = [], {word}, [(word, "")]
     while todo:
-        w, name, level = todo.pop()
-        if level < LEVELS and _any_utf8().search(w):
+        w, name = todo.pop()
+        if _any_utf8().search(w):
             for page in PAGES:
                 r, pairs = _undo_utf8(w, page)
                 if pairs and r not in seen:
                     seen.add(r)
                     out.append((n := f"{name}+{page}<utf8" if name else f"{page}<utf8", r))
-                    todo.append((r, n, level + 1))
+                    todo.append((r, n))
     return out
 
 
-KEPT = 5  # single-byte readings of a word that are followed further, the best ones
-
-
 def candidates(letters: Letters, words: list[str], least: float) -> dict[str, list[tuple[str, str]]]:
     """Word -> (pages, restored word) of readings that fit better by at least `least`; only words that have some.
 
-    Swaps of single bytes are scored for all words at once, over the distinct bigrams of the words.
+    Swaps of single bytes are scored for all words at once, over the distinct bigrams of the words. Pairs of pages that read a word
+    alike are all named.
     """
     found: dict = {}
     for k in range(0, len(words), 20_000):
@@ -245,28 +244,36 @@ def candidates(letters: Letters, words: list[str], least: float) -> dict[str, li
             diff = np.where(turned == uniq, 0, letters.each(turned) - base).astype(np.float32)
             gain.append(np.add.reduceat(diff[inverse], starts))
         gain, names = np.array(gain), list(swaps())
-        best = np.argpartition(-gain, KEPT, axis=0)[:KEPT]
-        good = np.take_along_axis(gain, best, 0)
         nested = [(j, r) for j, w in enumerate(part) if _any_utf8().search(w) for r in _nested(w)]
         plain = dict(zip(part, letters.scores(part)))
-        options: list[dict] = [{} for _ in part]
+        options: list[set] = [set() for _ in part]
         for (j, (name, r)), score in zip(nested, letters.scores([r for _, (_, r) in nested])):
             if score - plain[part[j]] > least:
-                options[j].setdefault(r, name)
-        for j in np.flatnonzero(good.max(0) > least).tolist():
-            for i in np.argsort(-good[:, j]).tolist():
-                if good[i, j] > least:
-                    name = names[best[i, j]]
-                    options[j].setdefault(part[j].translate(swaps()[name]), name)
-        for w, o in zip(part, options):
-            o.pop(w, None)
-            if o:
-                found[w] = [(name, r) for r, name in o.items()]
+                options[j].add((name, r))
+        gain[:, [not _ANY_LETTER.search(w) for w in part]] = -np.inf  # signs that stand alone are no evidence
+        for j, i in zip(*np.nonzero(gain.T > least)):
+            r = part[j].translate(swaps()[names[i]])
+            if r != part[j]:
+                options[j].add((names[i], r))
+        found.update((w, sorted(o)) for w, o in zip(part, options) if o)
     return found
 
 
+def applied(word: str, name: str, table: dict[int, str]) -> str:
+    """The word as a chain of pages reads it, or as the learned table does."""
+    if name == LEARNED:
+        return word.translate(table)
+    if not name.endswith("<utf8"):
+        return word.translate(swaps()[name])
+    for part in name.split("+"):
+        word = _undo_utf8(word, part[:-5])[0]
+    return word
+
+
 def symbols(word: str, name: str) -> list[tuple[str, str]]:
-    """(symbol, letter) pairs by which a page pair reads a word; of nested ones the outermost."""
+    """(symbol, letter) pairs by which a page pair reads a word; of nested ones the outermost, of a learned table none: it has its own weights."""
+    if name == LEARNED:
+        return []
     first = name.split("+")[0]
     if first.endswith("<utf8"):
         return _undo_utf8(word, first[:-5])[1]
@@ -280,22 +287,29 @@ def symbols(word: str, name: str) -> list[tuple[str, str]]:
 class Model:
     """Letter bigrams, share of garbled words per source and page pair, and what symbols mean there."""
 
-    def __init__(self, letters: Letters):
+    def __init__(self, letters: Letters, first: Letters | None = None):
         self.letters = letters
+        self.first = first or letters  # the first bigrams, by which free mappings were learned and are judged
         self.share: dict = {}  # (source, page pair) -> weight among all words of the source
         self.meaning: dict = {}  # (symbol, letter) -> probability, over all sources as far as a source has not seen it
         self.own: dict = {}  # (source, symbol, letter) -> probability
-
-    def weigh(self, source: str, words: list[str], options: list[list[tuple[str, str]]]) -> list[list[tuple[str, str, float]]]:
-        """For each word its (pages, restored word, log odds against leaving it as it is), those with a gain only."""
-        flat = [r for o in options for _, r in o]
-        base, score, out, k = self.letters.scores(words), self.letters.scores(flat), [], 0
-        for w, o, b in zip(words, options, base):
+        self.tables: dict = {}  # (source, language) -> translate() table that was learned freely
+
+    def weigh(self, source: str, words: list[str], options: list[list[tuple[str, str]]], least: float = 0.0, by_first: bool = False) -> list[list[tuple[str, str, float]]]:
+        """For each word its (pages, restored word, log odds against leaving it as it is), those whose bigrams gain more than `least` only.
+
+        Learned tables are judged by the first bigrams, all readings if `by_first`.
+        """
+        score, out = {}, []
+        for letters, first in ((self.letters, False), (self.first, True)):
+            flat = sorted({r for o in options for name, r in o if (by_first or name == LEARNED) == first})
+            score.update(zip([(first, r) for r in flat], letters.scores(flat)))
+        for w, o, b, b1 in zip(words, options, self.letters.scores(words), self.first.scores(words)):
             kept = []
             for name, r in o:
-                gain = score[k] - b
-                k += 1
-                if gain > 0:
+                first = by_first or name == LEARNED
+                gain = score[first, r] - (b1 if first else b)
+                if gain > least:
                     gain += CHANCE * ("<utf8" in name) + sum(log(self.own.get((source, s, c), self.meaning.get((s, c), 0.3))) for s, c in set(symbols(w, name)))
                     kept.append((name, r, float(gain)))
             out.append(kept)
@@ -312,48 +326,191 @@ def _words(text: str) -> list[str]:
 LEAST_GAIN = 2.0
 
 
+# fixed values: letters beyond ASCII of the languages that are told apart, and plain words by which each is known
+ALPHABETS = {"en": "", "de": "äöüß", "fr": "àâæçèéêëîïôùûüÿœ", "es": "áéíñóúü", "pt": "àáâãçéêíóôõú", "pl": "ąćęłńóśźż", "ru": "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"}
+KNOWN_BY = {
+    "en": "the and of to is for with that this are from", "de": "der die das und ist nicht mit von ein eine auf den dem wird", "fr": "le les et est dans pour une des du sur avec aux",
+    "es": "el los las con del en como esta", "pt": "os uma com do da em ao dos no", "pl": "nie jest na oraz przez dla od i z w",
+}
+QUOTES = "“”‘’«»„…–—"
+LEARNED = "learned"
+
+
+@lru_cache(maxsize=1)
+def _known_by() -> dict[str, str]:
+    return {w: lang for lang, words in KNOWN_BY.items() for w in words.split()}
+
+
+def language(text: str) -> str:
+    """The language whose plain words stand in a text most often, ru for Cyrillic without any, else ''."""
+    known = _known_by()
+    hits = Counter(known[w] for w in text.split() if w in known)
+    if hits and (top := hits.most_common(1)[0])[1] > 1:
+        return top[0]
+    return "ru" if len(re.findall("[а-яё]", text)) > 2 else ""
+
+
+@lru_cache(maxsize=32)
+def _own(lang: str) -> re.Pattern:
+    """Words of a language, or Cyrillic ones: its own letters, capitals only where a word begins, and quotation marks."""
+    one = lambda low, more: f"(?:[{more}{QUOTES}]|[{low}]|(?<![\\w])[{low.upper().replace('SS', '')}])*" if low else f"[{more}{QUOTES}]*"
+    return re.compile(f"{one(ALPHABETS.get(lang, ''), chr(0) + '-' + chr(127))}|{one(ALPHABETS['ru'], chr(0) + '-@')}")
+
+
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """(source, word, n): all words that are not plain ASCII with their number of uses."""
+    """(source, lang, word, n): all words that are not plain ASCII with their number of uses in documents of a language."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             count: Counter = Counter()
             for source, text in zip(pdf["source"], pdf["text"]):
                 if text and not text.isascii():
+                    lang = language(text)
                     for w in _words(text):
-                        count[source, w] += 1
-            yield pd.DataFrame([(s, w, n) for (s, w), n in count.items()], columns=["source", "word", "n"])
+                        count[source, lang, w] += 1
+            yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["source", "lang", "word", "n"])
 
-    rows = texts.select("source", "text").mapInPandas(run, "source string, word string, n long").groupBy("source", "word").agg(F.sum("n").alias("n"))
+    keys = ["source", "lang", "word"]
+    rows = texts.select("source", "text").mapInPandas(run, "source string, lang string, word string, n long").groupBy(*keys).agg(F.sum("n").alias("n"))
     return rows.repartition("word").sortWithinPartitions("word")  # a word of many sources is read once in a batch
 
 
-DOMINANT = 0.05  # share of all words from which a source is first read with the bigrams of the others
 PLAUSIBLE = -8.0  # the rarest bigram of a reading by the first bigrams, which lack some correct ones
-# beside common punctuation, signs next to letters or signs, long runs of accented letters, Cyrillic with capitals inside or rare letters in a row
-_SIGN, _LETTER = "[^\\x00-\\x7f\\w“”‘’«»…–—•]", "[^\\x00-\\x7f\\W]"
-_SEQUENCE = re.compile(f"{_LETTER}{_SIGN}|{_SIGN}{_LETTER}|{_SIGN}{_SIGN}|[\\u00aa-\\u024f]{{3}}|[а-яё][А-ЯЁ]|[Ѐ-ЏѢ-ӿђ-џ]{{2}}")
 
 
-def start(keys: np.ndarray, counts: np.ndarray, table: DataFrame, totals: dict) -> dict[str, Model]:
-    """The first models: at "" without words that have upper-half sequences, and for each dominant source also without its own words."""
-    large = {s for s, n in totals.items() if n > DOMINANT * sum(totals.values())}
+def start(keys: np.ndarray, counts: np.ndarray, table: DataFrame) -> Model:
+    """The first model: bigrams of ASCII words and of words that only hold letters of the language of their document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = defaultdict(float)
         for pdf in batches:
-            for source, w, n in zip(pdf["source"], pdf["word"], pdf["n"]):
-                part = "" if _SEQUENCE.search(w) else source if source in large else None
-                if part is not None:
+            for lang, w, n in zip(pdf["lang"], pdf["word"], pdf["n"]):
+                if not _own(lang).fullmatch(w):
                     x = encode(" " + w + " ").astype(np.int64)
                     for key in (x[:-1] * _WIDTH + x[1:]).tolist():
-                        sums[part, key] += n
-        yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["source", "key", "v"])
+                        sums[key] += n
+        yield pd.DataFrame(list(sums.items()), columns=["key", "v"])
+
+    got = table.mapInPandas(run, "key long, v double").groupBy("key").agg(F.sum("v").alias("v")).toPandas()
+    return Model(Letters(keys, np.maximum(counts - got.set_index("key")["v"].reindex(keys).fillna(0).to_numpy(), 0)))
+
+
+# -- free mappings -------------------------------------------------------------------------------------------------------------
+
+FREE_ROUNDS = 8
+LEAST_SYMBOLS, LEAST_USES = 3, 3.0  # a learned table maps so many symbols, each used so often; a lone foreign letter is no cipher
+SURE = 0.6  # probability from which a symbol is translated
 
-    got = table.mapInPandas(run, "source string, key long, v double").groupBy("source", "key").agg(F.sum("v").alias("v")).toPandas()
-    without = lambda n, source: np.maximum(n - got[got["source"] == source].set_index("key")["v"].reindex(keys).fillna(0).to_numpy(), 0)
-    plain = without(counts, "")
-    return {"": Model(Letters(keys, plain))} | {s: Model(Letters(keys, without(plain, s))) for s in large}
+
+_COMBINED = re.compile("[\u0300-\u036f]")  # letters written as two characters are correct
+
+
+class Free:
+    """What symbols mean, per (source, language): rows (symbol, letter, v) of expected uses, also over all sources."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.own = {k: part.set_index(["symbol", "letter"])["v"] for k, part in rows.groupby(["source", "lang"])}
+        self.all = {k: part.groupby(["symbol", "letter"])["v"].sum() for k, part in rows.groupby("lang")}
+
+    def table(self, source: str, lang: str, symbols_: list[str], letters_: list[str]) -> np.ndarray:
+        """Probability of each letter for each symbol: (symbols, letters). Unseen symbols may mean anything, own letters mostly themselves."""
+        index = pd.MultiIndex.from_product([symbols_, letters_])
+        first = np.array([[1.0 if s == c else 0.0 for c in letters_] for s in symbols_])
+        own = np.array([s.lower() in ALPHABETS[lang] for s in symbols_])[:, None]
+        free = np.array([c.lower() in ALPHABETS[lang] for c in letters_])[None, :]
+        first = np.where(own, 0.9, 0.2) * first + np.where(own, 0.1, 0.8) * free / max(1, free.sum())
+        for counts in (self.all.get(lang), self.own.get((source, lang))):
+            if counts is not None:
+                v = counts.reindex(index).fillna(0).to_numpy().reshape(first.shape)
+                first = (v + 5 * first) / (v.sum(1, keepdims=True) + 5)
+        return first
+
+
+def _forward_backward(letters: Letters, words: list[str], ns: list[int], lang: str, probability) -> tuple[list[str], list[str], np.ndarray]:
+    """(symbols, letters, expected uses): posterior of the letter behind every symbol of the words, whose ASCII characters stand for themselves.
+
+    probability(symbols, letters) gives the mapping so far. All words are passed at once, character by character.
+    """
+    seen = sorted({c for w in words for c in w} | {" "})
+    odd = [c for c in seen if c > "\x7f"]
+    chars = sorted({c for c in seen if c <= "\x7f"} | set(odd) | set(ALPHABETS[lang]) | set(ALPHABETS[lang].upper().replace("SS", "")))
+    at, place = {c: k for k, c in enumerate(chars)}, {c: k for k, c in enumerate(seen)}
+    x = encode("".join(chars)).astype(np.int64)
+    step = np.exp(letters.each((x[:, None] * _WIDTH + x[None, :]).ravel()).reshape(len(x), len(x)).astype(np.float64))
+    emit = np.zeros((len(seen), len(chars)))
+    for c in seen:
+        if c <= "\x7f":
+            emit[place[c], at[c]] = 1
+    if odd:
+        emit[[place[c] for c in odd]] = probability(odd, chars)
+    uses = np.zeros((len(seen), len(chars)))
+    for k in range(0, len(words), 1024):
+        part, n = words[k : k + 1024], np.array(ns[k : k + 1024], float)
+        long = max(map(len, part)) + 2
+        w = np.full((len(part), long), place[" "])
+        for i, word in enumerate(part):
+            w[i, 1 : len(word) + 1] = [place[c] for c in word]
+        ahead, state = [], emit[w[:, 0]]
+        for t in range(long):
+            state = emit[w[:, t]] * (state @ step if t else 1)
+            state = state / np.maximum(state.sum(1, keepdims=True), 1e-300)
+            ahead.append(state)
+        back = np.ones_like(state)
+        for t in range(long - 1, -1, -1):
+            post = ahead[t] * back
+            np.add.at(uses, w[:, t], post / np.maximum(post.sum(1, keepdims=True), 1e-300) * n[:, None])
+            back = (emit[w[:, t]] * back) @ step.T
+            back = back / np.maximum(back.sum(1, keepdims=True), 1e-300)
+    return odd, chars, uses[[place[c] for c in odd]]
+
+
+def learn_freely(spark, table: DataFrame, model: Model) -> dict:
+    """(source, language) -> translate() table, from words of foreign letters that no known pair of pages reads plausibly.
+
+    Expectation-maximization from scratch: mappings per source lean on that over all sources. Words are dealt over tasks, sums come back
+    per source, language, symbol and letter.
+    """
+    shared = spark.sparkContext.broadcast(model)
+
+    def unread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = lambda lang, w: _own(lang).fullmatch(w) or _own(lang).fullmatch(w.lower())
+            odd = [bool(ALPHABETS.get(lang)) and not own(lang, w) and not _LOST.search(w) and not _COMBINED.search(w) for lang, w in zip(pdf["lang"], pdf["word"])]
+            pdf = pdf[odd]
+            letters = shared.value.letters
+            read = letters.plausible(candidates(letters, pdf["word"].unique().tolist(), LEAST_GAIN), PLAUSIBLE)
+            yield pdf[[w not in read for w in pdf["word"]]]
+
+    words = cut(table.mapInPandas(unread, "source string, lang string, word string, n long").repartition("source", "lang", F.pmod(F.xxhash64("word"), F.lit(16))))
+    got = pd.DataFrame(columns=["source", "lang", "symbol", "letter", "v"])
+    for _ in range(FREE_ROUNDS if not words.isEmpty() else 0):
+        before = spark.sparkContext.broadcast(Free(got))
+
+        def expect(batches: Iterator[pd.DataFrame], before=before) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for (source, lang), part in pdf.groupby(["source", "lang"]):
+                    table_of = lambda s, c, source=source, lang=lang: before.value.table(source, lang, s, c)
+                    odd, chars, uses = _forward_backward(shared.value.letters, part["word"].tolist(), part["n"].tolist(), lang, table_of)
+                    i, j = np.nonzero(uses > 1e-2)
+                    yield pd.DataFrame({"source": source, "lang": lang, "symbol": [odd[k] for k in i], "letter": [chars[k] for k in j], "v": uses[i, j]})
+
+        keys = ["source", "lang", "symbol", "letter"]
+        got = words.mapInPandas(expect, "source string, lang string, symbol string, letter string, v double").groupBy(*keys).agg(F.sum("v").alias("v")).toPandas()
+    return _tables(got)
+
+
+def _tables(got: pd.DataFrame) -> dict:
+    """The likeliest letters of sure symbols, per source and language, and under source '' over all sources."""
+    over = got.groupby(["lang", "symbol", "letter"], as_index=False)["v"].sum()
+    out: dict = {}
+    for rows in (got, over.assign(source="")):
+        keys = ["source", "lang", "symbol"]
+        total = rows.groupby(keys)["v"].transform("sum")
+        sure = rows[(rows["v"] >= SURE * total) & (total >= LEAST_USES) & (rows["symbol"] != rows["letter"])]
+        for (source, lang), part in sure.groupby(["source", "lang"]):
+            if len(part) >= LEAST_SYMBOLS:
+                out[source, lang] = {ord(s): c for s, c in zip(part["symbol"], part["letter"])}
+    return {k: out.get(("", k[1]), {}) | t for k, t in out.items()}
 
 
 @lru_cache(maxsize=1)
@@ -394,82 +551,125 @@ def _expect(m: Model, source: str, w: str, n: int, options: list[tuple[str, str,
 
 
 def learn(spark, texts: DataFrame):
-    """Fit the model to (source, text): bigrams of everything, then EM over the words."""
+    """Fit the model to (source, text): bigrams of everything, free mappings, then EM over the readings of words."""
     counted = cut(bigrams(texts)).toPandas()  # at most as many as pairs of characters in the fixed range, and a row for each source
     sizes = counted[counted["key"] == -1]
     totals = dict(zip(sizes["source"], sizes["n"].astype(float)))
     counted = counted[counted["key"] != -1]
     keys, counts = counted["key"].to_numpy(), counted["n"].to_numpy().astype(float)
     table = cut(vocabulary(texts))
-    models = start(keys, counts, table, totals)
+    model = start(keys, counts, table)
+    tables = learn_freely(spark, table, model)
     everything = {**totals, "": max(sum(totals.values()), 1.0)}
     for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast(models)
+        model.tables = tables
+        shared = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             sums: dict = defaultdict(float)
+            m = shared.value
             for pdf in batches:
-                for which, rows in pdf.groupby(pdf["source"].where(pdf["source"].isin(list(shared.value)), "")):
-                    m = shared.value[which]
-                    better = candidates(m.letters, rows["word"].unique().tolist(), LEAST_GAIN)
-                    if not m.share:
-                        better = m.letters.plausible(better, PLAUSIBLE)
-                    odd = rows[[w in better or bool(_LOST.search(w)) for w in rows["word"]]]
-                    for source, part in odd.groupby("source"):
-                        words, ns = part["word"].tolist(), part["n"].tolist()
-                        for w, n, options in zip(words, ns, m.weigh(source, words, [better.get(w, []) for w in words])):
-                            _expect(m, source, w, n, options, sums)
+                better = candidates(m.letters, pdf["word"].unique().tolist(), LEAST_GAIN)
+                if not m.share:
+                    better = m.letters.plausible(better, PLAUSIBLE)
+                freely = learned_readings(m, pdf["source"], pdf["lang"], pdf["word"])
+                odd = pdf[[w in better or (s, w) in freely or bool(_LOST.search(w)) for s, w in zip(pdf["source"], pdf["word"])]]
+                for source, part in odd.groupby("source"):
+                    words, ns = part["word"].tolist(), part["n"].tolist()
+                    for w, n, options in zip(words, ns, m.weigh(source, words, [better.get(w, []) + freely.get((source, w), []) for w in words])):
+                        _expect(m, source, w, n, options, sums)
             yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["what", "source", "a", "b", "key", "v"])
 
         got = table.mapInPandas(expect, "what string, source string, a string, b string, key long, v double").groupBy("what", "source", "a", "b", "key").agg(F.sum("v").alias("v")).toPandas()
-        models = {"": _next(keys, counts, got, everything)}
-    return spark.sparkContext.broadcast(models[""])
+        model = _next(keys, counts, got, everything, model.first)
+    model.tables = tables
+    return spark.sparkContext.broadcast(model)
+
 
+def learned_readings(m: Model, sources, langs, words) -> dict[tuple[str, str], list[tuple[str, str]]]:
+    """(source, word) -> its reading by the learned table of source and language."""
+    read = {}
+    for source, lang, w in zip(sources, langs, words):
+        table = m.tables.get((source, lang)) or m.tables.get(("", lang))
+        if table and (r := w.translate(table)) != w:
+            read[source, w] = [(LEARNED, r)]
+    return read
 
-def _next(keys: np.ndarray, counts: np.ndarray, got: pd.DataFrame, totals: dict) -> Model:
+
+def _next(keys: np.ndarray, counts: np.ndarray, got: pd.DataFrame, totals: dict, first: Letters | None = None) -> Model:
     """M-step: bigrams without the garbled words, shares of page pairs, meanings of symbols overall and per source."""
     spoilt = got[got["what"] == "bigram"]
     clean = counts - pd.Series(spoilt["v"].to_numpy(), index=spoilt["key"].to_numpy()).reindex(keys).fillna(0).to_numpy()
-    model = Model(Letters(keys, np.maximum(clean, 0)))
+    model = Model(Letters(keys, np.maximum(clean, 0)), first)
     shares = got[got["what"] == "share"]
-    for name, v in shares.groupby("a")["v"].sum().items():
-        model.share["", name] = v / totals[""]
-    for source, name, v in zip(shares["source"], shares["a"], shares["v"]):
-        overall = model.share["", name]
-        model.share[source, name] = (v + 20 * overall) / (totals[source] + 20)
+    overall = shares.groupby("a")["v"].sum() / totals[""]
+    model.share = {("", name): v for name, v in overall.items()}
+    own = (shares["v"] + 20 * shares["a"].map(overall)) / (shares["source"].map(totals) + 20)
+    model.share |= dict(zip(zip(shares["source"], shares["a"]), own))
     m = got[got["what"] == "meaning"]
-    by_symbol = m.groupby("a")["v"].sum()
-    for (s, c), v in m.groupby(["a", "b"])["v"].sum().items():
-        model.meaning[s, c] = (v + 0.3) / (by_symbol[s] + 1)
-    own = m.groupby(["source", "a"])["v"].sum()
-    for source, s, c, v in zip(m["source"], m["a"], m["b"], m["v"]):
-        model.own[source, s, c] = (v + 5 * model.meaning[s, c]) / (own[source, s] + 5)
+    both = m.groupby(["a", "b"])["v"].sum()
+    both = (both + 0.3) / (m.groupby("a")["v"].sum().reindex(both.index.get_level_values(0)).to_numpy() + 1)
+    model.meaning = both.to_dict()
+    lean = both.reindex(pd.MultiIndex.from_frame(m[["a", "b"]])).to_numpy()
+    own = (m["v"] + 5 * lean) / (m.groupby(["source", "a"])["v"].transform("sum") + 5)
+    model.own = dict(zip(zip(m["source"], m["a"], m["b"]), own))
     return model
 
 
 # -- documents -----------------------------------------------------------------------------------------------------------------
 
 
-def judge(model: Model, source: str, words: list[str], known: dict) -> tuple[float, dict[str, str], set[str]]:
+ALONE = 6.0  # further log odds that a document needs whose only evidence is a learned table, and words that show it
+LEAST_WORDS, LEAST_READ = 4, 0.4  # so many words, and such a share of those with its symbols, a learned table has to read plausibly
+
+
+def judge(model: Model, source: str, lang: str, words: list[str], known: dict) -> tuple[float, dict[str, str], set[str]]:
     """(log odds that a text of these words is garbled, word -> restored word, pages); known: (source, word) -> weighed readings.
 
-    Words of one pair of pages support each other: its price is paid once for the document, and a little for each word.
+    Words of one pair of pages support each other: its price is paid once for the document, and a little for each word. A learned
+    table also has to read most words that hold its symbols.
     """
-    sums: dict = defaultdict(float)
+    sums, n = defaultdict(float), Counter()
     for w in words:
         for name, _, g in known.get((source, w), ()):
             if g > 1:
                 sums[name] += g - 1
+                n[name] += 1
     odds = {name: v + model.prior(source, name) + float(np.log(RUN)) for name, v in sums.items()}
-    good = {name for name, v in odds.items() if v > FOUND}
-    restored = {}
-    for w in words:
-        options = [(g + 0.01 * odds[name], r, name) for name, r, g in known.get((source, w), ()) if name in good and g > 1]
-        if options:
-            restored[w] = max(options)
+    table = model.tables.get((source, lang)) or model.tables.get(("", lang), {})
+    if LEARNED in odds:
+        odds[LEARNED] -= ALONE
+        turned = {w: [(LEARNED, r)] for w in words if (r := w.translate(table)) != w}
+        if min(n[LEARNED], len(model.first.plausible(turned, PLAUSIBLE))) < max(LEAST_WORDS, LEAST_READ * len(turned)):
+            odds[LEARNED] = -9.0
+    good = sorted(name for name, v in odds.items() if v > FOUND)
     lost = any(_LOST.search(w) for w in words)
-    best = max([-9.0, *odds.values()])
-    return (99.0 if lost else best), {w: r for w, (_, r, _) in restored.items()}, {n for _, _, n in restored.values()}
+    restored = reread(model, source, words, good, table, odds) if good else {}
+    return (99.0 if lost else max([-9.0, *odds.values()])), {w: r for w, (_, r) in restored.items()}, {name for name, _ in restored.values()}
+
+
+def reread(model: Model, source: str, words: list[str], good: list[str], table: dict[int, str], odds: dict) -> dict[str, tuple[str, str]]:
+    """Word -> (pages, restored word) in a document that these pages garbled: how much of it they garbled is settled by EM over its words."""
+    options = [[(name, r) for name in good if (r := applied(w, name, table)) != w] for w in words]
+    weighed = [(w, o) for w, o in zip(words, model.weigh(source, words, options, -60.0, True)) if o]
+    share = {name: 0.5 / len(good) for name in good}
+    best: dict = {}
+    for _ in range(5):
+        mass, rest = defaultdict(float), 0.0
+        for w, o in weighed:
+            left = log(max(1e-3, 1 - sum(share.values())))
+            logs = [g + log(share[name]) for name, _, g in o]
+            top = max([left, *logs])
+            p = [float(np.exp(x - top)) for x in logs]
+            z = sum(p) + float(np.exp(left - top))
+            for (name, _, _), x in zip(o, p):
+                mass[name] += x / z
+            rest += 1 - sum(p) / z
+            k = max(range(len(o)), key=lambda i: (p[i], odds[o[i][0]], o[i][0]))
+            best[w] = (o[k][0], o[k][1]) if logs[k] > left else None
+        total = rest + sum(mass.values()) + 1
+        share = {name: (mass[name] + 0.5 / len(good)) / total for name in good}
+    return {w: x for w, x in best.items() if x}
 
 
 def restore(docs: DataFrame) -> DataFrame:
@@ -486,20 +686,22 @@ def restore(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts = [(i, s, t, list(dict.fromkeys(_words(t)))) for i, s, t in zip(pdf["doc_id"], pdf["source"], pdf["text"]) if not t.isascii()]
-            better = candidates(model.value.letters, list({w for _, _, _, ws in texts for w in ws}), 0.5)
+            m = model.value
+            texts = [(i, s, language(t) if m.tables else "", t, list(dict.fromkeys(_words(t)))) for i, s, t in zip(pdf["doc_id"], pdf["source"], pdf["text"]) if not t.isascii()]
+            better = candidates(m.letters, list({w for *_, ws in texts for w in ws}), 0.5)
+            freely = learned_readings(m, *zip(*[(s, lang, w) for _, s, lang, _, ws in texts for w in ws])) if m.tables and texts else {}
             used = defaultdict(set)
-            for _, s, _, ws in texts:
-                used[s].update(w for w in ws if w in better)
+            for _, s, _, _, ws in texts:
+                used[s].update(w for w in ws if w in better or (s, w) in freely)
             known = {}
             for s, ws in used.items():
                 ws = sorted(ws)
-                known.update(zip([(s, w) for w in ws], model.value.weigh(s, ws, [better[w] for w in ws])))
+                known.update(zip([(s, w) for w in ws], m.weigh(s, ws, [better.get(w, []) + freely.get((s, w), []) for w in ws])))
             rows = []
-            for i, source, text, ws in texts:
-                odds, words, pages = judge(model.value, source, ws, known)
+            for i, source, lang, text, ws in texts:
+                odds, words, pages = judge(m, source, lang, ws, known)
                 if odds > FOUND:
-                    fixed = re.sub(r"[^ \t\n\r\f\v]+", lambda m: words.get(m[0], m[0]), text) if words else text
+                    fixed = re.sub(r"[^ \t\n\r\f\v]+", lambda x: words.get(x[0], x[0]), text) if words else text
                     rows.append((i, odds, ",".join(sorted(pages)), len(words), not _LOST.search(fixed), fixed))
             yield pd.DataFrame(rows, columns=["doc_id", "log_odds", "pages", "n_words", "is_whole", "text"])
 

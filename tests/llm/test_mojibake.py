@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import mojibake as M
@@ -42,7 +43,7 @@ def test_planted_documents_are_found_and_restored(spark):
     assert len(planted.keys() & found.keys()) >= 0.9 * len(planted)
     assert len(found.keys() - planted.keys() - bad) <= 3
     same = sum(found.get(i) == t for i, t in planted.items())
-    assert same >= 0.5 * len(planted), (same, len(planted))
+    assert same >= 0.8 * len(planted), (same, len(planted))
 
 
 def test_lost_characters_and_edges(spark):
@@ -85,3 +86,37 @@ def test_a_large_source_garbled_alike_is_found(spark):
     found = {r["doc_id"] for r in M.restore(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
     assert len(planted) > 20
     assert len(planted & found) >= 0.9 * len(planted)
+
+
+def turned(c, written, read):
+    """A character as it looks after the swap; bytes that a page leaves open stand for control characters."""
+    if c < "\x80":
+        return c
+    try:
+        raw = c.encode(written)
+    except UnicodeError:
+        return c
+    return "".join(M._upper_half()[read][b] if b > 127 else chr(b) for b in raw)
+
+
+# swaps of listed pages in most documents of a language, and one of a page that is not listed and is learned freely
+@pytest.mark.parametrize("written, read, lang, n", [("utf-8", "cp1252", "pl", 18), ("cp1250", "cp1252", "pl", 13), ("koi8_r", "cp1251", "ru", 25), ("koi8_r", "cp1251", "ru", 5), ("cp1257", "cp1252", "pl", 25)])
+def test_swaps_common_in_a_language(spark, written, read, lang, n):
+    assert "cp1257" not in M.PAGES
+    docs = [r for r in table(spark, "/root/testdata/sf0.01", "documents").where("text is not null").select("doc_id", "source", "lang", "text").collect()]
+    bad = {r["doc_id"] for r in M.restore(spark.createDataFrame([tuple(r) for r in docs], "doc_id long, source string, lang string, text string")).collect()}
+    own = [r for r in docs if r["lang"] == lang and r["doc_id"] not in bad and sum(c > "\x7f" for c in r["text"]) > 20]
+    random.Random(5).shuffle(own)
+    planted = {r["doc_id"]: r["text"] for r in own[:n]}
+    rows = [(r["doc_id"], r["source"], "".join(turned(c, written, read) for c in r["text"]) if r["doc_id"] in planted else r["text"]) for r in docs]
+    got = {r["doc_id"]: r["text"] for r in M.restore(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert len(planted) == n and len(planted.keys() & got.keys()) >= 0.9 * n
+    assert len(got.keys() - planted.keys() - bad) <= 1
+    words = [(a, b, c) for i, _, t in rows if i in planted for a, b, c in zip(planted[i].split(), t.split(), got.get(i, t).split()) if a != b]
+    assert len(words) > 500 and sum(a == c for a, _, c in words) >= 0.9 * len(words)
+
+
+def test_letters_of_other_languages_are_correct(spark):
+    clean = [(k, "s", "nie jest to na pewno tak, że żółw gęś śpi oraz źle być może ćwiczy") for k in range(60)]
+    others = [(100, "s", "Dvo\u0159\u00e1k nie jest w Brn\u011b"), (101, "s", "na przez \u0130stanbul i \u039b\u03cc\u03b3\u03bf\u03c2 jest"), (102, "s", "cafe\u0301 nie jest na\u00efve"), (103, "s", "DU\u017bE LITERY NA G\u00d3RZE nie jest w"), (104, "s", "2 \u00d7 3 \u00b1 1 nie jest na")]
+    assert M.restore(spark.createDataFrame(clean + others, "doc_id long, source string, text string")).count() == 0
