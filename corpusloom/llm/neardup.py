@@ -1,13 +1,14 @@
 """Near-duplicate texts by the generalised pigeonhole principle on minwise codes.
 
 A text's code has 2 * PARTS symbols of 32 bits, one per minwise hash. The bits of one symbol are fully correlated (they agree
-or not as one), so a symbol is never divided and distance is counted in symbols; two of them make a partition. For
+or not as one), so a symbol is never divided and distance is counted in symbols. Two symbols make a partition: those whose
+crowding is most correlated in a sample of texts, so that what is crowded falls together. For
 texts of similarity s the distance is binomial with mean 2 * PARTS * (1 - s).
 
 If thresholds t_i of the partitions, -1 for 'skip', satisfy sum(t_i + 1) >= PARTS, every pair within PARTS - 1 symbols agrees
-in some partition up to t_i symbols. Most texts take t_i = 0 throughout. Texts with a signature that many others have
-choose theirs by dynamic programming over estimated candidate counts: crowded partitions are skipped and rare
-ones widened instead. At similarity 0.6 a pair beyond that distance is still met with probability 1 - 0.64 ** PARTS.
+in some partition up to t_i symbols; for each one skipped more is asked of the others. Every text chooses its thresholds by dynamic programming over estimated candidate counts:
+crowded partitions are skipped and rare ones widened instead. The estimates are hashed counts of fixed size over all
+texts; they steer the cost only. At similarity 0.6 a pair beyond that distance is still met with probability 1 - 0.64 ** PARTS.
 Candidates are verified on the full shingle sets.
 """
 
@@ -24,7 +25,9 @@ from corpusloom.llm.shingles import mix, shingle_sets
 from corpusloom.runtime import cut, let_workers_import
 
 PARTS = 16
-CROWD = 64  # texts that share a signature from which on it counts as crowded
+CELLS = 1 << 17  # hashed counts of symbols, and of signatures; what the driver and a broadcast hold of them is fixed by it
+SKIP = 1  # further symbols to be covered for each partition skipped
+SAMPLE = 4096  # texts from which the correlation of symbols is measured
 _SEEDS = mix(np.arange(1, 2 * PARTS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
 
@@ -70,75 +73,127 @@ def sets(texts: DataFrame, width: int, least: int) -> DataFrame:
 
 
 def allocate(cost: np.ndarray) -> np.ndarray:
-    """Thresholds -1, 0 or 1 per partition with sum(t + 1) = PARTS at the least total of estimated candidates.
+    """Thresholds -1, 0 or 1 per partition with sum(t + 1) >= PARTS + (SKIP + 1) * skipped, at the least total of estimated candidates.
 
-    cost: (rows, PARTS, 2) counts of candidates at threshold 0 and 1; skipping costs nothing.
+    cost: (rows, PARTS, 2) counts of candidates at threshold 0 and 1; skipping costs nothing. Pigeonholes alone would do with
+    sum(t + 1) = PARTS; texts that share a crowded partition agree there and less so elsewhere, so more is asked where one is skipped.
     """
     rows, parts = cost.shape[:2]
-    best = np.full((rows, parts + 1, parts + 1), np.inf)
-    best[:, 0, 0] = 0
-    pick = np.zeros((rows, parts + 1, parts + 1), np.int8)
+    worth, need = (0, SKIP + 2, SKIP + 3), (SKIP + 2) * parts
+    after = np.array([[max(0, k - w) for k in range(need + 1)] for w in worth])
+    best = np.full((rows, need + 1), np.inf)  # least cost at which the partitions so far are worth k or more
+    best[:, 0] = 0
+    pick = np.empty((parts, rows, need + 1), np.int8)
     for i in range(parts):
-        options = np.full((3, rows, parts + 1), np.inf)
-        options[0] = best[:, i]
-        options[1, :, 1:] = best[:, i, :-1] + cost[:, i, 0, None]
-        options[2, :, 2:] = best[:, i, :-2] + cost[:, i, 1, None]
-        pick[:, i + 1] = options.argmin(0)
-        best[:, i + 1] = options.min(0)
-    out, left, r = np.empty((rows, parts), np.int8), np.full(rows, parts), np.arange(rows)
-    for i in range(parts, 0, -1):
-        out[:, i - 1] = pick[r, i, left] - 1
-        left = left - pick[r, i, left]
+        options = np.stack([best[:, after[0]], best[:, after[1]] + cost[:, i, 0, None], best[:, after[2]] + cost[:, i, 1, None]])
+        pick[i], best = options.argmin(0), options.min(0)
+    out, left, r = np.empty((rows, parts), np.int8), np.full(rows, need), np.arange(rows)
+    for i in range(parts - 1, -1, -1):
+        o = pick[i, r, left]
+        out[:, i] = o - 1
+        left = after[o, left]
     return out
 
 
-def _signatures(rows: DataFrame) -> DataFrame:
-    """(part, wide, sig, id, size): one row per partition, both symbols as one 64-bit key; wide is 0."""
-    at = lambda k: F.element_at("code", k)
-    pairs = F.array(*[F.struct(F.lit(i).cast("byte").alias("part"), (F.shiftleft(at(2 * i + 1).cast("long"), 32).bitwiseXOR(at(2 * i + 2).cast("long").bitwiseAND(0xFFFFFFFF))).alias("sig")) for i in range(PARTS)])
-    return rows.select("id", "size", F.explode(pairs).alias("p")).select("p.part", F.lit(0).cast("byte").alias("wide"), "p.sig", "id", "size")
+def pair_up(crowding: np.ndarray) -> np.ndarray:
+    """(PARTS, 2): symbols in pairs, the most correlated first; crowding: (texts, 2 * PARTS)."""
+    n = 2 * PARTS
+    spread = crowding.std(0) if len(crowding) else np.zeros(n)
+    z = (crowding - crowding.mean(0)) / np.where(spread > 0, spread, 1) if len(crowding) else np.zeros((1, n))
+    together = z.T @ z / len(z)
+    left, pairs = list(range(n)), []
+    i, j = np.triu_indices(n, 1)
+    for k in np.argsort(-np.round(together[i, j], 9), kind="stable"):
+        if i[k] in left and j[k] in left:
+            pairs.append((i[k], j[k]))
+            left = [x for x in left if x not in pairs[-1]]
+    return np.array(pairs)
 
 
-def _symbols(rows: DataFrame) -> DataFrame:
-    """(part, wide, sig, id, size): one row per symbol, for threshold 1; wide tells the place of the symbol."""
-    return rows.select("id", "size", F.posexplode("code").alias("k", "symbol")).select(F.floor(F.col("k") / 2).cast("byte").alias("part"), (F.col("k") % 2 + 1).cast("byte").alias("wide"), F.col("symbol").cast("long").alias("sig"), "id", "size")
+def _codes_of(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("code").flatten().to_numpy().reshape(-1, 2 * PARTS)
+
+
+def _keys(code: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures (texts, PARTS) and symbols (texts, PARTS, 2) as 64-bit keys."""
+    symbols = code[:, pairs].astype(np.int64)
+    return (symbols[..., 0] << 32) ^ (symbols[..., 1] & 0xFFFFFFFF), symbols
+
+
+def _cell(key: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """Cell of a key of a partition or symbol; the salt tells which."""
+    return (mix(key.astype(np.uint64) + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _counted(reps: DataFrame, cells) -> np.ndarray:
+    """How many texts fall into each cell; cells: codes -> cells of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += np.bincount(cells(_codes_of(batch)).ravel(), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    rows = reps.select("code").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(CELLS, np.int64)
+    out[rows["cell"]] = rows["n"]
+    return out
 
 
 def candidates(reps: DataFrame, least_similarity: float) -> DataFrame:
     """(a, b) with a < b: pairs of (id, size, code) that the allocated thresholds let meet and whose sizes allow it."""
-    signatures = _signatures(reps)
-    counts = signatures.groupBy("part", "sig").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(signatures.join(counts, ["part", "sig"]))  # what is not shared meets nobody
-    fits = (F.col("q.id") != F.col("x.id")) & (F.least("q.size", "x.size") >= F.ceil(F.greatest("q.size", "x.size") * (least_similarity - 1e-9)))
-    pair = [F.least("q.id", "x.id").alias("a"), F.greatest("q.id", "x.id").alias("b")]
-    busy = shared.where(F.col("n") > CROWD).select("id").distinct()
-    if busy.isEmpty():
-        met = shared.alias("q").join(shared.alias("x"), ["part", "sig"]).where(fits & (F.col("q.id") < F.col("x.id")))
-        return met.select(*pair).distinct()
-    # texts with a crowded signature get thresholds of their own
-    affected = cut(reps.join(busy, "id", "left_semi"))
-    symbols = _symbols(affected)
-    every = affected.select("id", F.explode(F.sequence(F.lit(0).cast("byte"), F.lit(PARTS - 1).cast("byte"))).alias("part"))
-    count0 = every.join(shared.select("id", "part", "n"), ["id", "part"], "left").select("id", "part", F.lit(0).alias("t"), F.coalesce("n", F.lit(1)).alias("n"))
-    count1 = symbols.join(symbols.groupBy("part", "wide", "sig").agg(F.count("*").alias("n")), ["part", "wide", "sig"]).groupBy("id", "part").agg(F.sum("n").alias("n")).select("id", "part", F.lit(1).alias("t"), "n")
-    slot = (F.col("part") * 2 + F.col("t")).cast("int")
-    costs = count0.unionByName(count1).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct(slot.alias("k"), F.col("n").alias("n")))), lambda s: s["n"]).alias("cost"))
+    spark, every = reps.sparkSession, np.arange(2 * PARTS)
+    symbol_counts = _counted(reps, lambda code: _cell(code, every))
+    sample = reps.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("code").toPandas()
+    codes_ = np.array(sample["code"].tolist(), np.int32).reshape(-1, 2 * PARTS)
+    pairs = pair_up(np.log(symbol_counts[_cell(codes_, every)] + 1.0))
+    parts = np.arange(PARTS)
+    signature_counts = _counted(reps, lambda code: _cell(_keys(code, pairs)[0], parts))
+    known = spark.sparkContext.broadcast((symbol_counts, signature_counts))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                cost = np.array(batch.column(1).to_pylist(), dtype=float).reshape(-1, PARTS, 2)
-                t = allocate(cost)
-                row, part = np.nonzero(t >= 0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(batch.column(0))[row]), pa.array(part.astype(np.int8)), pa.array(t[row, part])], ["id", "part", "t"])
-
-    chosen = cut(costs.mapInArrow(choose, "id long, part byte, t byte"))
-    wide = lambda df, t: df.join(chosen.where(F.col("t") == t).select("id", "part"), ["id", "part"], "left_semi")
-    columns = ["part", "wide", "sig", "id", "size"]
-    calm = shared.join(affected.select("id"), "id", "left_anti")
-    probes = calm.select(columns).unionByName(wide(shared.join(affected.select("id"), "id", "left_semi"), 0).select(columns)).unionByName(wide(symbols, 1).select(columns))
-    index = shared.select(columns).unionByName(symbols)
-    return probes.alias("q").join(index.alias("x"), ["part", "wide", "sig"]).where(fits).select(*pair).distinct()
+            if not batch.num_rows:
+                continue
+            by_symbol, by_signature = known.value
+            signatures, symbols = _keys(_codes_of(batch), pairs)
+            one = by_signature[_cell(signatures, parts)] - 1.0
+            wide = by_symbol[_cell(symbols, pairs)].sum(2) - 2.0
+            t = allocate(np.stack([one, np.maximum(wide, one) + 1e-3], 2))  # on a tie the narrower probe
+            asked = _cell(symbols, pairs)[t == 1].ravel()
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, PARTS), pa.int32()), pa.array(x.ravel()))
+            n = np.bincount(np.nonzero(t == 1)[0], minlength=len(t)) * 2
+            asked = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(asked, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("size"), batch.column("code"), lists(t), asked], ["id", "size", "code", "t", "asked"])
+
+    chosen = cut(reps.select("id", "size", "code").mapInArrow(choose, "id long, size int, code array<int>, t array<byte>, asked array<long>"))
+    # symbols that some text probes for, as cells: only these are put into the index beside the signatures
+    probed = np.zeros(CELLS, bool)
+    probed[[r[0] for r in chosen.select(F.explode("asked")).distinct().collect()]] = True
+    probed = spark.sparkContext.broadcast(probed)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            signatures, symbols = _keys(_codes_of(batch), pairs)
+            t = batch.column("t").flatten().to_numpy().reshape(-1, PARTS)
+            text, part, which = np.nonzero(probed.value[_cell(symbols, pairs)])
+            owner = np.concatenate([np.repeat(np.arange(len(t)), PARTS), text])
+            slot = np.concatenate([np.tile(parts, len(t)) * 3, part * 3 + which + 1]).astype(np.int8)
+            key = np.concatenate([signatures.ravel(), symbols[text, part, which]])
+            asks = np.concatenate([t.ravel() == 0, t[text, part] == 1])
+            owners = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(key), batch.column("id").take(owners), batch.column("size").take(owners), pa.array(asks)], ["slot", "sig", "id", "size", "asks"])
+
+    met = chosen.mapInArrow(rows, "slot byte, sig long, id long, size int, asks boolean")
+    some = met.groupBy("slot", "sig").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 and asked").select("slot", "sig")
+    shared = cut(met.join(some, ["slot", "sig"], "left_semi"))  # what nobody else has, or nobody probes for, meets nobody
+    q, x = shared.where("asks").alias("q"), shared.alias("x")
+    fits = (F.least("q.size", "x.size") >= F.ceil(F.greatest("q.size", "x.size") * (least_similarity - 1e-9))) & ((F.col("q.id") < F.col("x.id")) | (~F.col("x.asks") & (F.col("q.id") != F.col("x.id"))))
+    return q.join(x, ["slot", "sig"]).where(fits).select(F.least("q.id", "x.id").alias("a"), F.greatest("q.id", "x.id").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, members: DataFrame, least_similarity: float) -> DataFrame:
