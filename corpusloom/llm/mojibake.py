@@ -21,7 +21,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from math import log
+from math import exp, log
 
 import numpy as np
 import pandas as pd
@@ -196,6 +196,7 @@ def _any_utf8() -> re.Pattern:
     return re.compile(both(first) + both(then))
 
 
+@lru_cache(maxsize=1 << 17)
 def _undo_utf8(word: str, page: str) -> tuple[str, list[tuple[str, str]]]:
     pattern, byte = _utf8()[page]
     pairs = []
@@ -259,26 +260,32 @@ def candidates(letters: Letters, words: list[str], least: float) -> dict[str, li
     return found
 
 
+@lru_cache(maxsize=1 << 17)
+def _unchained(word: str, name: str) -> str:
+    for part in name.split("+"):
+        word = _undo_utf8(word, part[:-5])[0]
+    return word
+
+
 def applied(word: str, name: str, table: dict[int, str]) -> str:
     """The word as a chain of pages reads it, or as the learned table does."""
     if name == LEARNED:
         return word.translate(table)
     if not name.endswith("<utf8"):
         return word.translate(swaps()[name])
-    for part in name.split("+"):
-        word = _undo_utf8(word, part[:-5])[0]
-    return word
+    return _unchained(word, name)
 
 
+@lru_cache(maxsize=1 << 16)
 def symbols(word: str, name: str) -> list[tuple[str, str]]:
-    """(symbol, letter) pairs by which a page pair reads a word; of nested ones the outermost, of a learned table none: it has its own weights."""
+    """Distinct (symbol, letter) pairs by which a page pair reads a word; of nested ones the outermost, of a learned table none: it has its own weights."""
     if name == LEARNED:
         return []
     first = name.split("+")[0]
     if first.endswith("<utf8"):
-        return _undo_utf8(word, first[:-5])[1]
+        return sorted(set(_undo_utf8(word, first[:-5])[1]))
     table = swaps()[first]
-    return [(c, table[ord(c)]) for c in word if ord(c) in table]
+    return sorted({(c, table[ord(c)]) for c in word if ord(c) in table})
 
 
 # -- expectation-maximization --------------------------------------------------------------------------------------------------
@@ -305,18 +312,20 @@ class Model:
             flat = sorted({r for o in options for name, r in o if (by_first or name == LEARNED) == first})
             score.update(zip([(first, r) for r in flat], letters.scores(flat)))
         for w, o, b, b1 in zip(words, options, self.letters.scores(words), self.first.scores(words)):
-            kept = []
+            kept, alike = [], {}
             for name, r in o:
-                first = by_first or name == LEARNED
-                gain = score[first, r] - (b1 if first else b)
+                first, nested = by_first or name == LEARNED, "<utf8" in name
+                gain = float(score[first, r] - (b1 if first else b))
                 if gain > least:
-                    gain += CHANCE * ("<utf8" in name) + sum(log(self.own.get((source, s, c), self.meaning.get((s, c), 0.3))) for s, c in set(symbols(w, name)))
-                    kept.append((name, r, float(gain)))
+                    key = name.split("+")[0] if nested else name == LEARNED, r  # swaps that read a word alike turn the same symbols
+                    if key not in alike:
+                        alike[key] = CHANCE * nested + sum(log(self.own.get((source, s, c), self.meaning.get((s, c), 0.3))) for s, c in symbols(w, name))
+                    kept.append((name, r, gain + alike[key]))
             out.append(kept)
         return out
 
     def prior(self, source: str, name: str) -> float:
-        return float(np.log(max(self.share.get((source, name), self.share.get(("", name), 0.0)), FLOOR if self.share else START)))
+        return log(max(self.share.get((source, name), self.share.get(("", name), 0.0)), FLOOR if self.share else START))
 
 
 def _words(text: str) -> list[str]:
@@ -533,15 +542,18 @@ def _expect(m: Model, source: str, w: str, n: int, options: list[tuple[str, str,
     """E-step for one word of a source with n uses: adds the weights of its readings to the sums."""
     logs = [g + m.prior(source, name) for name, _, g in options]
     top = max([0.0, *logs])
-    z = np.exp(-top) + sum(np.exp(x - top) for x in logs)
-    garbled = 0.0
-    for (name, _, _), x in zip(options, logs):
-        p = float(np.exp(x - top) / z)
+    z = exp(-top) + sum(exp(x - top) for x in logs)
+    garbled, alike = 0.0, {}
+    for (name, r, _), x in zip(options, logs):
+        p = exp(x - top) / z
         if p < 1e-4:
             continue
         garbled += p
         sums["share", source, name, "", 0] += n * p
-        for s, c in set(symbols(w, name)):
+        key = name.split("+")[0] if "<utf8" in name else name == LEARNED, r
+        alike[key] = name, alike.get(key, (name, 0.0))[1] + p
+    for name, p in alike.values():
+        for s, c in symbols(w, name):
             sums["meaning", source, s, c, 0] += n * p
     if garbled > 1e-3 or _LOST.search(w):
         g = 1.0 if _LOST.search(w) else garbled
@@ -642,7 +654,12 @@ def judge(model: Model, source: str, lang: str, words: list[str], known: dict) -
         turned = {w: [(LEARNED, r)] for w in words if (r := w.translate(table)) != w}
         if min(n[LEARNED], len(model.first.plausible(turned, PLAUSIBLE))) < max(LEAST_WORDS, LEAST_READ * len(turned)):
             odds[LEARNED] = -9.0
-    good = sorted(name for name, v in odds.items() if v > FOUND)
+    good, told = [], set()
+    for name in sorted((name for name, v in odds.items() if v > FOUND), key=lambda name: (-odds[name], name)):
+        shown = {(w, r) for w in words for other, r, g in known.get((source, w), ()) if other == name and g > 1}
+        if not shown <= told:  # pages that read its words as better ones do add nothing
+            good.append(name)
+            told |= shown
     lost = any(_LOST.search(w) for w in words)
     restored = reread(model, source, words, good, table, odds) if good else {}
     return (99.0 if lost else max([-9.0, *odds.values()])), {w: r for w, (_, r) in restored.items()}, {name for name, _ in restored.values()}
@@ -656,12 +673,12 @@ def reread(model: Model, source: str, words: list[str], good: list[str], table:
     best: dict = {}
     for _ in range(5):
         mass, rest = defaultdict(float), 0.0
+        left, prior = log(max(1e-3, 1 - sum(share.values()))), {name: log(v) for name, v in share.items()}
         for w, o in weighed:
-            left = log(max(1e-3, 1 - sum(share.values())))
-            logs = [g + log(share[name]) for name, _, g in o]
+            logs = [g + prior[name] for name, _, g in o]
             top = max([left, *logs])
-            p = [float(np.exp(x - top)) for x in logs]
-            z = sum(p) + float(np.exp(left - top))
+            p = [exp(x - top) for x in logs]
+            z = sum(p) + exp(left - top)
             for (name, _, _), x in zip(o, p):
                 mass[name] += x / z
             rest += 1 - sum(p) / z
