@@ -77,6 +77,22 @@ def leaf(units: np.ndarray, n_shards: int, shard: int, seed: int) -> tuple[np.nd
     return first, have
 
 
+RUN = 1024  # units that are put in order within one task
+
+
+def permuted(units: DataFrame) -> DataFrame:
+    """(mix_name, source, unit, slot) of (mix_name, source, unit, units): slots 0 to units - 1 in the order of a random hash.
+
+    Units fall into runs by hash and are ordered within a run; the runs' sizes add up to where each begins. Equal hashes go by unit.
+    """
+    rows = units.withColumn("run", F.pmod(F.xxhash64("mix_name", "source", "unit", F.lit(SEED + 3)), F.ceil(F.col("units") / RUN).cast("long")))
+    sizes = rows.groupBy("mix_name", "source", "run").agg(F.count("*").alias("n"))
+    # one row a run: a source of a billion units has a million of them
+    ahead = sizes.withColumn("ahead", F.sum("n").over(Window.partitionBy("mix_name", "source").orderBy("run")) - F.col("n")).drop("n")
+    inside = F.row_number().over(Window.partitionBy("mix_name", "source", "run").orderBy(F.xxhash64("unit", "mix_name", "source", F.lit(SEED + 4)), "unit"))
+    return rows.withColumn("inside", inside).join(ahead, ["mix_name", "source", "run"]).select("mix_name", "source", "unit", (F.col("ahead") + F.col("inside") - 1).alias("slot"))
+
+
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(selection, shares).
 
@@ -96,8 +112,9 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) ->
     used = placed.join(passes.drop("n_blocks"), "source")
     reach = F.col("whole") + F.when((F.col("before") + F.col("n_tokens") / 2 <= F.col("part")) & (F.col("whole") < F.col("max_repeats")), 1).otherwise(0)
     used = used.withColumn("pass_no", F.explode(F.when(reach > 0, F.sequence(F.lit(1), reach.cast("int"))))).withColumn("unit", (F.col("pass_no") - 1).cast("long") * F.col("n_blocks") + F.col("block"))
-    # every unit up to the last one touched is dealt, by the tree
-    spans = cut(used.groupBy("mix_name", "source").agg((F.max("unit") + 1).alias("units"), F.max("quota").alias("quota")))
+    # every unit with documents is dealt, by the tree
+    units = cut(used.groupBy("mix_name", "source", "unit").agg(F.max("quota").alias("quota")))
+    spans = cut(units.groupBy("mix_name", "source").agg(F.count("*").alias("units"), F.max("quota").alias("quota")))
     trees = spans.groupBy("mix_name").agg(F.greatest(F.lit(1), F.round(F.sum("quota") / SHARD_TOKENS)).cast("int").alias("n_shards"), F.array_sort(F.collect_list(F.struct("source", "units"))).alias("sources"))
     shards = trees.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("n_shards") - 1)))
 
@@ -112,10 +129,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) ->
 
     ranges = shards.select("mix_name", "n_shards", "sources", "shard").mapInPandas(deal, "mix_name string, shard int, source string, first long, after long")
     dealt = ranges.withColumn("slot", F.explode(F.sequence("first", F.col("after") - 1))).select("mix_name", "source", "slot", "shard")
-    # slots follow the permuted order of the units of a source, so each shard draws blocks from all over its passes
-    scatter = spans.select("mix_name", "source", "units")
-    stride = F.col("units") - F.pmod(F.xxhash64("mix_name", "source"), F.greatest(F.col("units") / 2, F.lit(1)).cast("long"))
-    units = used.select("mix_name", "source", "unit").distinct().join(scatter, ["mix_name", "source"]).withColumn("slot", (F.col("unit") + stride) % F.col("units")).select("mix_name", "source", "unit", "slot")
+    # slots are the places of the units of a source in random order, so each shard draws blocks from all over its passes
+    units = permuted(units.join(spans.select("mix_name", "source", "units"), ["mix_name", "source"]))
     homes = units.join(dealt, ["mix_name", "source", "slot"]).select("mix_name", "source", "unit", "shard")
     chosen = used.join(homes, ["mix_name", "source", "unit"]).select("mix_name", "shard", "source", "doc_id", "pass_no", "n_tokens")
     order = Window.partitionBy("mix_name", "shard").orderBy(F.xxhash64("doc_id", "pass_no", F.lit(SEED + 2)), "doc_id", "pass_no")

@@ -41,6 +41,7 @@ RUN = 20  # garbled words of a garbled document, by which a share of words is a
 CHANCE = 2.0  # characters of the upper half form a UTF-8 sequence by chance about one time in eight
 _OTHER = 3000
 _SPLIT = re.compile(r"[ \t\n\r\f\v]+")
+_BLANK = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")  # what str.split() takes for white space beside that
 _ANY_LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -122,7 +123,7 @@ class Letters:
         total = np.concatenate([[0.0], np.cumsum(self.each(key), dtype=np.float64)])
         return total[ends] - total[starts]
 
-    def plausible(self, readings: dict[str, list[tuple[str, str]]], least: float) -> dict[str, list[tuple[str, str]]]:
+    def plausible(self, readings: dict[str, list[Reading]], least: float) -> dict[str, list[Reading]]:
         """The readings all of whose bigrams have at least this log probability; only words that have some."""
         flat = [(w, name, r) for w, options in readings.items() for name, r in options]
         out: dict = {}
@@ -219,8 +220,8 @@ def _nested(word: str) -> list[tuple[str, str]]:
     while todo:
         w, name = todo.pop()
         if _any_utf8().search(w):
-            for page in PAGES:
-                r, pairs = _undo_utf8(w, page)
+            for page, (pattern, _) in _utf8().items():
+                r, pairs = _undo_utf8(w, page) if pattern.search(w) else (w, None)
                 if pairs and r not in seen:
                     seen.add(r)
                     out.append((n := f"{name}+{page}<utf8" if name else f"{page}<utf8", r))
@@ -228,8 +229,12 @@ def _nested(word: str) -> list[tuple[str, str]]:
     return out
 
 
-def candidates(letters: Letters, words: list[str], least: float) -> dict[str, list[tuple[str, str]]]:
-    """Word -> (pages, restored word) of readings that fit better by at least `least`; only words that have some.
+MARGIN = 25.0  # a reading so much worse than the best one of its word weighs nothing, whatever the shares of its pages (at least FLOOR)
+Reading = tuple[tuple[str, ...], str]  # names of the page pairs that read a word alike, and the reading
+
+
+def candidates(letters: Letters, words: list[str], least: float) -> dict[str, list[Reading]]:
+    """Word -> (names of pages, restored word) of readings that fit better by at least `least`; only words that have some.
 
     Swaps of single bytes are scored for all words at once, over the distinct bigrams of the words. Pairs of pages that read a word
     alike are all named.
@@ -247,16 +252,22 @@ def candidates(letters: Letters, words: list[str], least: float) -> dict[str, li
         gain, names = np.array(gain), list(swaps())
         nested = [(j, r) for j, w in enumerate(part) if _any_utf8().search(w) for r in _nested(w)]
         plain = dict(zip(part, letters.scores(part)))
-        options: list[set] = [set() for _ in part]
+        options: list[list] = [[] for _ in part]
         for (j, (name, r)), score in zip(nested, letters.scores([r for _, (_, r) in nested])):
             if score - plain[part[j]] > least:
-                options[j].add((name, r))
+                options[j].append((score - plain[part[j]], (name,), r))
         gain[:, [not _ANY_LETTER.search(w) for w in part]] = -np.inf  # signs that stand alone are no evidence
-        for j, i in zip(*np.nonzero(gain.T > least)):
-            r = part[j].translate(swaps()[names[i]])
-            if r != part[j]:
-                options[j].add((names[i], r))
-        found.update((w, sorted(o)) for w, o in zip(part, options) if o)
+        good = gain.T > least
+        for j in np.flatnonzero(good.any(1)).tolist():
+            alike: dict = {}
+            for i in np.flatnonzero(good[j]).tolist():
+                alike.setdefault(part[j].translate(swaps()[names[i]]), []).append(names[i])
+            alike.pop(part[j], None)
+            options[j] += [(gain[names.index(n[0]), j], tuple(n), r) for r, n in alike.items()]
+        for w, o in zip(part, options):
+            best = max((g for g, _, _ in o), default=0.0)
+            if o:
+                found[w] = sorted((n, r) for g, n, r in o if g > best - MARGIN)
     return found
 
 
@@ -302,34 +313,42 @@ class Model:
         self.own: dict = {}  # (source, symbol, letter) -> probability
         self.tables: dict = {}  # (source, language) -> translate() table that was learned freely
 
-    def weigh(self, source: str, words: list[str], options: list[list[tuple[str, str]]], least: float = 0.0, by_first: bool = False) -> list[list[tuple[str, str, float]]]:
-        """For each word its (pages, restored word, log odds against leaving it as it is), those whose bigrams gain more than `least` only.
+    def weigh(self, source: str, words: list[str], options: list[list[Reading]], least: float = 0.0, by_first: bool = False) -> list[list[tuple[tuple[str, ...], str, float]]]:
+        """For each word its (names, restored word, log odds against leaving it as it is), those whose bigrams gain more than `least` only.
 
         Learned tables are judged by the first bigrams, all readings if `by_first`.
         """
         score, out = {}, []
         for letters, first in ((self.letters, False), (self.first, True)):
-            flat = sorted({r for o in options for name, r in o if (by_first or name == LEARNED) == first})
-            score.update(zip([(first, r) for r in flat], letters.scores(flat)))
-        for w, o, b, b1 in zip(words, options, self.letters.scores(words), self.first.scores(words)):
-            kept, alike = [], {}
-            for name, r in o:
-                first, nested = by_first or name == LEARNED, "<utf8" in name
-                gain = float(score[first, r] - (b1 if first else b))
+            flat = sorted({r for o in options for names, r in o if (by_first or names[0] == LEARNED) == first})
+            score.update(zip([(first, r) for r in flat], letters.scores(flat).tolist()))
+        for w, o, b, b1 in zip(words, options, self.letters.scores(words).tolist(), self.first.scores(words).tolist()):
+            kept = []
+            for names, r in o:
+                first = by_first or names[0] == LEARNED
+                gain = score[first, r] - (b1 if first else b)
                 if gain > least:
-                    key = name.split("+")[0] if nested else name == LEARNED, r  # swaps that read a word alike turn the same symbols
-                    if key not in alike:
-                        alike[key] = CHANCE * nested + sum(log(self.own.get((source, s, c), self.meaning.get((s, c), 0.3))) for s, c in symbols(w, name))
-                    kept.append((name, r, gain + alike[key]))
+                    gain += CHANCE * ("<utf8" in names[0])
+                    for pair in symbols(w, names[0]):  # pages that read a word alike turn the same symbols
+                        gain += log(self.own.get((source, *pair)) or self.meaning.get(pair, 0.3))
+                    kept.append((names, r, gain))
             out.append(kept)
         return out
 
+    def weight(self, source: str, name: str) -> float:
+        return max(self.share.get((source, name)) or self.share.get(("", name), 0.0), FLOOR if self.share else START)
+
     def prior(self, source: str, name: str) -> float:
-        return log(max(self.share.get((source, name), self.share.get(("", name), 0.0)), FLOOR if self.share else START))
+        return log(self.weight(source, name))
+
+
+def _split(text: str) -> list[str]:
+    """Runs between ASCII white space; other blanks may be symbols and part nothing."""
+    return _SPLIT.split(text) if _BLANK.search(text) else text.split()
 
 
 def _words(text: str) -> list[str]:
-    return [w for w in _SPLIT.split(text) if w and not w.isascii()]
+    return [w for w in _split(text) if w and not w.isascii()]
 
 
 LEAST_GAIN = 2.0
@@ -350,10 +369,10 @@ def _known_by() -> dict[str, str]:
     return {w: lang for lang, words in KNOWN_BY.items() for w in words.split()}
 
 
-def language(text: str) -> str:
+def language(text: str, words: list[str] | None = None) -> str:
     """The language whose plain words stand in a text most often, ru for Cyrillic without any, else ''."""
     known = _known_by()
-    hits = Counter(known[w] for w in text.split() if w in known)
+    hits = Counter([known[w] for w in (text.split() if words is None else words) if w in known])
     if hits and (top := hits.most_common(1)[0])[1] > 1:
         return top[0]
     return "ru" if len(re.findall("[а-яё]", text)) > 2 else ""
@@ -374,9 +393,11 @@ def vocabulary(texts: DataFrame) -> DataFrame:
             count: Counter = Counter()
             for source, text in zip(pdf["source"], pdf["text"]):
                 if text and not text.isascii():
-                    lang = language(text)
-                    for w in _words(text):
-                        count[source, lang, w] += 1
+                    words = _split(text)
+                    lang = language(text, words)
+                    for w in words:
+                        if not w.isascii():
+                            count[source, lang, w] += 1
             yield pd.DataFrame([(*k, n) for k, n in count.items()], columns=["source", "lang", "word", "n"])
 
     keys = ["source", "lang", "word"]
@@ -406,7 +427,7 @@ def start(keys: np.ndarray, counts: np.ndarray, table: DataFrame) -> Model:
 
 # -- free mappings -------------------------------------------------------------------------------------------------------------
 
-FREE_ROUNDS = 8
+FREE_ROUNDS = 5
 LEAST_SYMBOLS, LEAST_USES = 3, 3.0  # a learned table maps so many symbols, each used so often; a lone foreign letter is no cipher
 SURE = 0.6  # probability from which a symbol is translated
 
@@ -473,24 +494,36 @@ def _forward_backward(letters: Letters, words: list[str], ns: list[int], lang: s
     return odd, chars, uses[[place[c] for c in odd]]
 
 
-def learn_freely(spark, table: DataFrame, model: Model) -> dict:
-    """(source, language) -> translate() table, from words of foreign letters that no known pair of pages reads plausibly.
+def suspects(spark, table: DataFrame, model: Model) -> DataFrame:
+    """Rows of the vocabulary that may be garbled, with `unread`: words of foreign letters that no known pair of pages reads plausibly.
 
-    Expectation-maximization from scratch: mappings per source lean on that over all sources. Words are dealt over tasks, sums come back
-    per source, language, symbol and letter.
+    A word stays if a reading fits better by the first bigrams, if it holds letters foreign to its language, or a lost character. The
+    first bigrams know no garbled words, so what fits none better is settled for all rounds.
     """
     shared = spark.sparkContext.broadcast(model)
+    own = lambda lang, w: _own(lang).fullmatch(w) or _own(lang).fullmatch(w.lower())
 
-    def unread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own = lambda lang, w: _own(lang).fullmatch(w) or _own(lang).fullmatch(w.lower())
-            odd = [bool(ALPHABETS.get(lang)) and not own(lang, w) and not _LOST.search(w) and not _COMBINED.search(w) for lang, w in zip(pdf["lang"], pdf["word"])]
-            pdf = pdf[odd]
             letters = shared.value.letters
-            read = letters.plausible(candidates(letters, pdf["word"].unique().tolist(), LEAST_GAIN), PLAUSIBLE)
-            yield pdf[[w not in read for w in pdf["word"]]]
+            better = candidates(letters, pdf["word"].unique().tolist(), LEAST_GAIN)
+            read = letters.plausible(better, PLAUSIBLE)
+            lost = np.array([bool(_LOST.search(w)) for w in pdf["word"]], bool)
+            foreign = np.array([bool(ALPHABETS.get(lang)) and not own(lang, w) and not _COMBINED.search(w) for lang, w in zip(pdf["lang"], pdf["word"])], bool)
+            unread = foreign & ~lost & np.array([w not in read for w in pdf["word"]], bool)
+            yield pdf.assign(unread=unread)[foreign | lost | np.array([w in better for w in pdf["word"]], bool)]
 
-    words = cut(table.mapInPandas(unread, "source string, lang string, word string, n long").repartition("source", "lang", F.pmod(F.xxhash64("word"), F.lit(16))))
+    return cut(table.mapInPandas(run, "source string, lang string, word string, n long, unread boolean"))
+
+
+def learn_freely(spark, table: DataFrame, model: Model) -> dict:
+    """(source, language) -> translate() table, from the unread words of the table.
+
+    Expectation-maximization from scratch: mappings per source lean on that over all sources. Words are dealt over tasks, sums come back
+    per source, language, symbol and letter.
+    """
+    shared = spark.sparkContext.broadcast(model)
+    words = cut(table.where("unread").drop("unread").repartition("source", "lang", F.pmod(F.xxhash64("word"), F.lit(16))))
     got = pd.DataFrame(columns=["source", "lang", "symbol", "letter", "v"])
     for _ in range(FREE_ROUNDS if not words.isEmpty() else 0):
         before = spark.sparkContext.broadcast(Free(got))
@@ -538,22 +571,22 @@ def _swap_ids() -> list[np.ndarray]:
 _LOST = re.compile("[�\x80-\x9f￾￿]|[\U000f0000-\U0010ffff]")
 
 
-def _expect(m: Model, source: str, w: str, n: int, options: list[tuple[str, str, float]], sums: dict) -> None:
+def _expect(m: Model, source: str, w: str, n: int, options: list[tuple[tuple[str, ...], str, float]], sums: dict) -> None:
     """E-step for one word of a source with n uses: adds the weights of its readings to the sums."""
-    logs = [g + m.prior(source, name) for name, _, g in options]
+    weights = [[m.weight(source, name) for name in names] for names, _, _ in options]
+    logs = [g + log(sum(v)) for (_, _, g), v in zip(options, weights)]
     top = max([0.0, *logs])
     z = exp(-top) + sum(exp(x - top) for x in logs)
-    garbled, alike = 0.0, {}
-    for (name, r, _), x in zip(options, logs):
+    garbled = 0.0
+    for (names, _, _), x, v in zip(options, logs, weights):
         p = exp(x - top) / z
         if p < 1e-4:
             continue
         garbled += p
-        sums["share", source, name, "", 0] += n * p
-        key = name.split("+")[0] if "<utf8" in name else name == LEARNED, r
-        alike[key] = name, alike.get(key, (name, 0.0))[1] + p
-    for name, p in alike.values():
-        for s, c in symbols(w, name):
+        whole = sum(v)
+        for name, u in zip(names, v):
+            sums["share", source, name, "", 0] += n * p * u / whole
+        for s, c in symbols(w, names[0]):
             sums["meaning", source, s, c, 0] += n * p
     if garbled > 1e-3 or _LOST.search(w):
         g = 1.0 if _LOST.search(w) else garbled
@@ -571,6 +604,7 @@ def learn(spark, texts: DataFrame):
     keys, counts = counted["key"].to_numpy(), counted["n"].to_numpy().astype(float)
     table = cut(vocabulary(texts))
     model = start(keys, counts, table)
+    table = suspects(spark, table, model)
     tables = learn_freely(spark, table, model)
     everything = {**totals, "": max(sum(totals.values()), 1.0)}
     for _ in range(ROUNDS):
@@ -584,7 +618,7 @@ def learn(spark, texts: DataFrame):
                 better = candidates(m.letters, pdf["word"].unique().tolist(), LEAST_GAIN)
                 if not m.share:
                     better = m.letters.plausible(better, PLAUSIBLE)
-                freely = learned_readings(m, pdf["source"], pdf["lang"], pdf["word"])
+                freely = learned_readings(m, zip(pdf["source"], pdf["lang"], pdf["word"]))
                 odd = pdf[[w in better or (s, w) in freely or bool(_LOST.search(w)) for s, w in zip(pdf["source"], pdf["word"])]]
                 for source, part in odd.groupby("source"):
                     words, ns = part["word"].tolist(), part["n"].tolist()
@@ -592,19 +626,22 @@ def learn(spark, texts: DataFrame):
                         _expect(m, source, w, n, options, sums)
             yield pd.DataFrame([(*k, v) for k, v in sums.items()], columns=["what", "source", "a", "b", "key", "v"])
 
-        got = table.mapInPandas(expect, "what string, source string, a string, b string, key long, v double").groupBy("what", "source", "a", "b", "key").agg(F.sum("v").alias("v")).toPandas()
+        got = table.drop("unread").mapInPandas(expect, "what string, source string, a string, b string, key long, v double").groupBy("what", "source", "a", "b", "key").agg(F.sum("v").alias("v")).toPandas()
         model = _next(keys, counts, got, everything, model.first)
     model.tables = tables
     return spark.sparkContext.broadcast(model)
 
 
-def learned_readings(m: Model, sources, langs, words) -> dict[tuple[str, str], list[tuple[str, str]]]:
-    """(source, word) -> its reading by the learned table of source and language."""
-    read = {}
-    for source, lang, w in zip(sources, langs, words):
-        table = m.tables.get((source, lang)) or m.tables.get(("", lang))
-        if table and (r := w.translate(table)) != w:
-            read[source, w] = [(LEARNED, r)]
+def learned_readings(m: Model, rows) -> dict[tuple[str, str], list[Reading]]:
+    """(source, word) -> its reading by the learned table of source and language, for (source, language, word)."""
+    read, tables, turns = {}, {}, {}
+    for source, lang, w in rows:
+        if (source, lang) not in tables:
+            tables[source, lang] = m.tables.get((source, lang)) or m.tables.get(("", lang), {})
+            turns[source, lang] = {chr(c) for c in tables[source, lang]}
+        table = tables[source, lang]
+        if table and not turns[source, lang].isdisjoint(w):
+            read[source, w] = [((LEARNED,), w.translate(table))]
     return read
 
 
@@ -642,32 +679,33 @@ def judge(model: Model, source: str, lang: str, words: list[str], known: dict) -
     table also has to read most words that hold its symbols.
     """
     sums, n = defaultdict(float), Counter()
+    shown = defaultdict(dict)
     for w in words:
-        for name, _, g in known.get((source, w), ()):
+        for names, _, g in known.get((source, w), ()):
             if g > 1:
-                sums[name] += g - 1
-                n[name] += 1
+                for name in names:
+                    shown[name][w] = g - 1
+    for name, by_word in shown.items():
+        sums[name], n[name] = sum(by_word.values()), len(by_word)
     odds = {name: v + model.prior(source, name) + float(np.log(RUN)) for name, v in sums.items()}
     table = model.tables.get((source, lang)) or model.tables.get(("", lang), {})
     if LEARNED in odds:
         odds[LEARNED] -= ALONE
-        turned = {w: [(LEARNED, r)] for w in words if (r := w.translate(table)) != w}
+        turned = {w: [((LEARNED,), r)] for w in words if (r := w.translate(table)) != w}
         if min(n[LEARNED], len(model.first.plausible(turned, PLAUSIBLE))) < max(LEAST_WORDS, LEAST_READ * len(turned)):
             odds[LEARNED] = -9.0
     good, told = [], set()
     for name in sorted((name for name, v in odds.items() if v > FOUND), key=lambda name: (-odds[name], name)):
-        shown = {(w, r) for w in words for other, r, g in known.get((source, w), ()) if other == name and g > 1}
-        if not shown <= told:  # pages that read its words as better ones do add nothing
+        if sum(v for w, v in shown[name].items() if w not in told) + odds[name] - sums[name] > FOUND:  # what better pages do not read pays its price too
             good.append(name)
-            told |= shown
-    lost = any(_LOST.search(w) for w in words)
+            told.update(shown[name])
     restored = reread(model, source, words, good, table, odds) if good else {}
-    return (99.0 if lost else max([-9.0, *odds.values()])), {w: r for w, (_, r) in restored.items()}, {name for name, _ in restored.values()}
+    return max([-9.0, *odds.values()]), {w: r for w, (_, r) in restored.items()}, {name for name, _ in restored.values()}
 
 
 def reread(model: Model, source: str, words: list[str], good: list[str], table: dict[int, str], odds: dict) -> dict[str, tuple[str, str]]:
     """Word -> (pages, restored word) in a document that these pages garbled: how much of it they garbled is settled by EM over its words."""
-    options = [[(name, r) for name in good if (r := applied(w, name, table)) != w] for w in words]
+    options = [[((name,), r) for name in good if (r := applied(w, name, table)) != w] for w in words]
     weighed = [(w, o) for w, o in zip(words, model.weigh(source, words, options, -60.0, True)) if o]
     share = {name: 0.5 / len(good) for name in good}
     best: dict = {}
@@ -675,15 +713,15 @@ def reread(model: Model, source: str, words: list[str], good: list[str], table:
         mass, rest = defaultdict(float), 0.0
         left, prior = log(max(1e-3, 1 - sum(share.values()))), {name: log(v) for name, v in share.items()}
         for w, o in weighed:
-            logs = [g + prior[name] for name, _, g in o]
+            logs = [g + prior[name] for (name,), _, g in o]
             top = max([left, *logs])
             p = [exp(x - top) for x in logs]
             z = sum(p) + exp(left - top)
-            for (name, _, _), x in zip(o, p):
+            for ((name,), _, _), x in zip(o, p):
                 mass[name] += x / z
             rest += 1 - sum(p) / z
-            k = max(range(len(o)), key=lambda i: (p[i], odds[o[i][0]], o[i][0]))
-            best[w] = (o[k][0], o[k][1]) if logs[k] > left else None
+            k = max(range(len(o)), key=lambda i: (p[i], odds[o[i][0][0]], o[i][0]))
+            best[w] = (o[k][0][0], o[k][1]) if logs[k] > left else None
         total = rest + sum(mass.values()) + 1
         share = {name: (mass[name] + 0.5 / len(good)) / total for name in good}
     return {w: x for w, x in best.items() if x}
@@ -704,9 +742,10 @@ def restore(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             m = model.value
-            texts = [(i, s, language(t) if m.tables else "", t, list(dict.fromkeys(_words(t)))) for i, s, t in zip(pdf["doc_id"], pdf["source"], pdf["text"]) if not t.isascii()]
+            cells = [(i, s, t, _split(t)) for i, s, t in zip(pdf["doc_id"], pdf["source"], pdf["text"]) if not t.isascii()]
+            texts = [(i, s, language(t, ws) if m.tables else "", t, [w for w in dict.fromkeys(ws) if not w.isascii()]) for i, s, t, ws in cells]
             better = candidates(m.letters, list({w for *_, ws in texts for w in ws}), 0.5)
-            freely = learned_readings(m, *zip(*[(s, lang, w) for _, s, lang, _, ws in texts for w in ws])) if m.tables and texts else {}
+            freely = learned_readings(m, [(s, lang, w) for _, s, lang, _, ws in texts if (s, lang) in m.tables or ("", lang) in m.tables for w in ws])
             used = defaultdict(set)
             for _, s, _, _, ws in texts:
                 used[s].update(w for w in ws if w in better or (s, w) in freely)
@@ -716,7 +755,11 @@ def restore(docs: DataFrame) -> DataFrame:
                 known.update(zip([(s, w) for w in ws], m.weigh(s, ws, [better.get(w, []) + freely.get((s, w), []) for w in ws])))
             rows = []
             for i, source, lang, text, ws in texts:
+                lost = bool(_LOST.search(text))
+                if not lost and not any((source, w) in known for w in ws):
+                    continue
                 odds, words, pages = judge(m, source, lang, ws, known)
+                odds = 99.0 if lost else odds
                 if odds > FOUND:
                     fixed = re.sub(r"[^ \t\n\r\f\v]+", lambda x: words.get(x[0], x[0]), text) if words else text
                     rows.append((i, odds, ",".join(sorted(pages)), len(words), not _LOST.search(fixed), fixed))

@@ -153,25 +153,23 @@ def candidates(reps: DataFrame, least_similarity: float) -> DataFrame:
     signature_counts = _counted(reps, lambda code: _cell(_keys(code, pairs)[0], parts))
     known = spark.sparkContext.broadcast((symbol_counts, signature_counts))
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def thresholds(signatures: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        by_symbol, by_signature = known.value
+        one = by_signature[_cell(signatures, parts)] - 1.0
+        wide = by_symbol[_cell(symbols, pairs)].sum(2) - 2.0
+        return allocate(np.stack([one, np.maximum(wide, one) + 1e-3], 2))  # on a tie the narrower probe
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, bool)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            by_symbol, by_signature = known.value
-            signatures, symbols = _keys(_codes_of(batch), pairs)
-            one = by_signature[_cell(signatures, parts)] - 1.0
-            wide = by_symbol[_cell(symbols, pairs)].sum(2) - 2.0
-            t = allocate(np.stack([one, np.maximum(wide, one) + 1e-3], 2))  # on a tie the narrower probe
-            asked = _cell(symbols, pairs)[t == 1].ravel()
-            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, PARTS), pa.int32()), pa.array(x.ravel()))
-            n = np.bincount(np.nonzero(t == 1)[0], minlength=len(t)) * 2
-            asked = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(asked, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("size"), batch.column("code"), lists(t), asked], ["id", "size", "code", "t", "asked"])
-
-    chosen = cut(reps.select("id", "size", "code").mapInArrow(choose, "id long, size int, code array<int>, t array<byte>, asked array<long>"))
+            if batch.num_rows:
+                signatures, symbols = _keys(_codes_of(batch), pairs)
+                cells[_cell(symbols, pairs)[thresholds(signatures, symbols) == 1]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(cells))], ["cell"])
+
     # symbols that some text probes for, as cells: only these are put into the index beside the signatures
     probed = np.zeros(CELLS, bool)
-    probed[[r[0] for r in chosen.select(F.explode("asked")).distinct().collect()]] = True
+    probed[reps.select("code").mapInArrow(ask, "cell long").distinct().toPandas()["cell"]] = True
     probed = spark.sparkContext.broadcast(probed)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +177,7 @@ def candidates(reps: DataFrame, least_similarity: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             signatures, symbols = _keys(_codes_of(batch), pairs)
-            t = batch.column("t").flatten().to_numpy().reshape(-1, PARTS)
+            t = thresholds(signatures, symbols)
             text, part, which = np.nonzero(probed.value[_cell(symbols, pairs)])
             owner = np.concatenate([np.repeat(np.arange(len(t)), PARTS), text])
             slot = np.concatenate([np.tile(parts, len(t)) * 3, part * 3 + which + 1]).astype(np.int8)
@@ -188,7 +186,7 @@ def candidates(reps: DataFrame, least_similarity: float) -> DataFrame:
             owners = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(key), batch.column("id").take(owners), batch.column("size").take(owners), pa.array(asks)], ["slot", "sig", "id", "size", "asks"])
 
-    met = chosen.mapInArrow(rows, "slot byte, sig long, id long, size int, asks boolean")
+    met = reps.select("id", "size", "code").mapInArrow(rows, "slot byte, sig long, id long, size int, asks boolean")
     some = met.groupBy("slot", "sig").agg(F.count("*").alias("n"), F.max("asks").alias("asked")).where("n > 1 and asked").select("slot", "sig")
     shared = cut(met.join(some, ["slot", "sig"], "left_semi"))  # what nobody else has, or nobody probes for, meets nobody
     q, x = shared.where("asks").alias("q"), shared.alias("x")

@@ -17,7 +17,18 @@ from corpusloom.runtime import let_workers_import
 
 GROUP_CONTAINERS = 512
 GROUP_ITEMS = 8192
-LINEAR, QUADRATIC = 1.0, 1.0 / 4096  # cost of a token, and of a pair of tokens of one document
+WIDTH = 1024  # of the model that the sequences are for
+
+
+def cost_of(width: int) -> tuple[float, float]:
+    """(linear, quadratic) cost: of a token, and of a pair of tokens of one document as its share of that.
+
+    A layer multiplies a token with 12 width ** 2 weights, and two tokens that attend with 2 width numbers, half of them under a causal mask.
+    """
+    return 1.0, width / (12.0 * width**2)
+
+
+LINEAR, QUADRATIC = cost_of(WIDTH)
 
 
 def assign(sizes: np.ndarray, capacity: int) -> np.ndarray:

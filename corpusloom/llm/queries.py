@@ -50,15 +50,15 @@ def _sections(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks with the limits of their file's collection; a chunk without file or collection has no limit and is left out."""
     files = table(spark, folder, "files").groupBy(F.col("id").alias("file_id")).agg(F.max_by("collection_id", "last_indexed").alias("collection_id"))
     limits = table(spark, folder, "section_options").groupBy("collection_id").agg(F.max("max_section_chars").alias("max_bytes"), F.max("overlap_lines").alias("overlap_lines"))
-    chunks = table(spark, folder, "chunks").select("id", "file_id", "heading_level", F.col("content").alias("text"))
+    # contents that are within the lowest limit of all leave before the join
+    least = limits.agg(F.min("max_bytes")).first()[0]
+    chunks = table(spark, folder, "chunks").select("id", "file_id", "heading_level", F.col("content").alias("text")).where(F.octet_length("text") > F.lit(least))
     return chunks.join(files.join(limits, "collection_id").select("file_id", "max_bytes", "overlap_lines"), "file_id").where(F.col("max_bytes").isNotNull() & (F.octet_length("text") > F.greatest(F.col("max_bytes"), F.lit(1)))).dropDuplicates(["id"])
 
 
 def p5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Oversized chunks as pieces under the limit of their collection, with heading level and overlap."""
-    sections = _sections(spark, folder)
-    pieces = split.split_oversized(sections.select("id", "text", "max_bytes", "overlap_lines"))
-    return pieces.join(sections.select("id", "heading_level", "max_bytes"), "id").withColumnRenamed("id", "chunk_id")
+    return split.split_oversized(_sections(spark, folder).withColumn("limit", F.col("max_bytes")), ("heading_level", "limit")).withColumnRenamed("limit", "max_bytes").withColumnRenamed("id", "chunk_id")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

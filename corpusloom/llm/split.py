@@ -153,25 +153,27 @@ def split_text(text: str, limit: int, overlap_lines: int) -> list[tuple[int, str
     return [(a, text[laps[i] : a], text[a:b]) for i, a, b in zip(heads, bounds, bounds[1:])]
 
 
-def split_oversized(items: DataFrame) -> DataFrame:
-    """(id, piece_no, n_pieces, start, overlap_chars, n_bytes, text) for (id, text, max_bytes, overlap_lines).
+def split_oversized(items: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, piece_no, n_pieces, start, overlap_chars, n_bytes, text, *keep) for (id, text, max_bytes, overlap_lines, *keep).
 
     Only items above their limit come out, each as its pieces numbered from 1; text is the overlap followed by the piece's own
     text. The sizes are checked before any text goes to Python. Null text or limit: not oversized. A limit below 1 counts as 1,
     a null overlap as 0. Repeated rows give repeated pieces, so pass distinct items.
     """
     let_workers_import(items.sparkSession)
-    large = items.where(F.col("max_bytes").isNotNull() & (F.octet_length("text") > F.greatest(F.col("max_bytes"), F.lit(1)))).select(F.col("id").cast("long"), "text", F.col("max_bytes").cast("int"), F.coalesce("overlap_lines", F.lit(0)).cast("int").alias("overlap_lines"))
+    large = items.where(F.col("max_bytes").isNotNull() & (F.octet_length("text") > F.greatest(F.col("max_bytes"), F.lit(1)))).select(F.col("id").cast("long"), "text", F.col("max_bytes").cast("int"), F.coalesce("overlap_lines", F.lit(0)).cast("int").alias("overlap_lines"), *keep)
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in large.schema.fields[4:])
     names = ["id", "piece_no", "n_pieces", "start", "overlap_chars", "n_bytes", "text"]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, text, limit, lines in zip(*(c.to_pylist() for c in batch.columns)):
+            rows, of = [], []
+            for k, (i, text, limit, lines) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:4]))):
                 pieces = split_text(text, limit, lines)
                 rows += [(i, k, len(pieces), start, len(lap), _size(lap + own), lap + own) for k, (start, lap, own) in enumerate(pieces, 1)]
+                of += [k] * len(pieces)
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] + [c.take(pa.array(of)) for c in batch.columns[4:]], names + list(keep))
 
-    return large.mapInArrow(run, "id long, piece_no int, n_pieces int, start int, overlap_chars int, n_bytes int, text string")
+    return large.mapInArrow(run, "id long, piece_no int, n_pieces int, start int, overlap_chars int, n_bytes int, text string" + more)
