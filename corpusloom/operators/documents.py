@@ -23,16 +23,27 @@ def headings(docs: DataFrame) -> DataFrame:
     return found.select("id", "line_no", F.length(F.regexp_extract("line", HEADING, 1)).alias("level"), text.alias("heading"), slug(text).alias("section_id"))
 
 
+def spans(heads: Column, n_lines: Column) -> Column:
+    """Heads (start_line, level, heading) with end_line. Among the heads of level k and above, a head of level k ends before the next one."""
+    found = []
+    for k in range(1, 7):
+        upto = F.filter(heads, lambda h: h["level"] <= k)
+        paired = F.zip_with(upto, F.slice(upto, 2, F.greatest(F.size(upto), F.lit(1))), lambda h, then: F.struct(h["start_line"].alias("start_line"), F.coalesce(then["start_line"] - 1, n_lines).alias("end_line"), h["level"].alias("level"), h["heading"].alias("heading")))
+        found.append(F.filter(paired, lambda s: s["level"] == k))
+    return F.array_sort(F.concat(*found))
+
+
 def sections(docs: DataFrame) -> DataFrame:
     """headings with end_line: the line before the next heading of the same or a higher level, else the last line.
 
-    Spans nest. The headings of a document are held as one array, which is short, and scanned within the row.
+    Spans nest. They are found within the row of a document, in one pass per level, and no text leaves it.
     """
-    per_doc = headings(docs).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("line_no", "level", "heading", "section_id"))).alias("hs"))
-    n_lines = docs.where(F.col("text").contains("#")).select("id", F.size(F.split("text", "\n")).alias("n_lines"))
-    h = per_doc.join(n_lines, "id").select("id", "hs", "n_lines", F.explode("hs").alias("h"))
-    following = F.array_min(F.transform(F.filter("hs", lambda x: (x["line_no"] > F.col("h.line_no")) & (x["level"] <= F.col("h.level"))), lambda x: x["line_no"]))
-    return h.select("id", F.col("h.line_no").alias("start_line"), F.coalesce(following - 1, "n_lines").alias("end_line"), "h.level", "h.heading", "h.section_id")
+    once = lambda c: F.explode(F.array(c))
+    d = docs.where(F.col("text").contains("#")).select("id", once(F.split("text", "\n")).alias("ls"))
+    marked = F.filter(F.transform("ls", lambda s, k: F.struct((k + 1).alias("start_line"), s.alias("s"))), lambda x: x["s"].rlike(HEADING))
+    heads = F.transform(marked, lambda x: F.struct(x["start_line"].alias("start_line"), F.length(F.regexp_extract(x["s"], HEADING, 1)).alias("level"), F.trim(F.regexp_extract(x["s"], HEADING, 2)).alias("heading")))
+    d = d.select("id", F.size("ls").alias("n"), once(heads).alias("heads")).where(F.size("heads") > 0)
+    return d.select("id", F.explode(spans(F.col("heads"), F.col("n"))).alias("h")).select("id", "h.start_line", "h.end_line", "h.level", "h.heading", slug(F.col("h.heading")).alias("section_id"))
 
 
 def nearest_parents(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import basename, slug
 from corpusloom.functions.text import meaningful, title_from_name, truncate_bytes, word_count
-from corpusloom.operators.documents import HEADING, nearest_parents, title
+from corpusloom.operators.documents import HEADING, nearest_parents, spans as section_spans, title
 
 # blank lines, then a block between two lines of three or more '-' or of three or more '+'
 _BLOCK = r"^(\s*\n)?([ \t]*(?:-{3,}[ \t\r]*\n(?:(?s:.*?)\n)?[ \t]*-{3,}|\+{3,}[ \t\r]*\n(?:(?s:.*?)\n)?[ \t]*\+{3,}))[ \t\r]*(?:\n|$)"
@@ -26,16 +26,6 @@ def _joined(lines: Column, first: Column, n: Column) -> Column:
     return F.array_join(F.slice(lines, first, n), "\n")
 
 
-def _spans(heads: Column, n_lines: Column) -> Column:
-    """Heads (start_line, level, heading) with end_line. Among the heads of level k and above, a head of level k ends before the next one."""
-    found = []
-    for k in range(1, 7):
-        upto = F.filter(heads, lambda h: h["level"] <= k)
-        paired = F.zip_with(upto, F.slice(upto, 2, F.greatest(F.size(upto), F.lit(1))), lambda h, then: F.struct(h["start_line"].alias("start_line"), F.coalesce(then["start_line"] - 1, n_lines).alias("end_line"), h["level"].alias("level"), h["heading"].alias("heading")))
-        found.append(F.filter(paired, lambda s: s["level"] == k))
-    return F.array_sort(F.concat(*found))
-
-
 def section_chunks(docs: DataFrame, max_chars: int = 2000, overlap: int = 5) -> DataFrame:
     """(id, chunk_order, parent_order, start_line, end_line, char_count, section_id, heading, level, content) of (id, text).
 
@@ -53,7 +43,7 @@ def section_chunks(docs: DataFrame, max_chars: int = 2000, overlap: int = 5) ->
     first = F.get("heads", F.lit(0))["start_line"]
     before = F.struct(F.lit(1).alias("start_line"), (first - 1).alias("end_line"), F.lit(0).alias("level"), F.lit("").alias("heading"))
     whole = F.struct((F.col("fm") + 1).alias("start_line"), F.col("n").alias("end_line"), F.lit(0).alias("level"), F.lit("").alias("heading"))
-    spans = F.when(first.isNull(), F.array(whole)).when((first > 1) & _joined(F.col("ls"), F.lit(1), first - 1).rlike(r"\S"), F.concat(F.array(before), _spans(F.col("heads"), F.col("n")))).otherwise(_spans(F.col("heads"), F.col("n")))
+    spans = F.when(first.isNull(), F.array(whole)).when((first > 1) & _joined(F.col("ls"), F.lit(1), first - 1).rlike(r"\S"), F.concat(F.array(before), section_spans(F.col("heads"), F.col("n")))).otherwise(section_spans(F.col("heads"), F.col("n")))
     begin = lambda s: F.greatest(s["start_line"], F.col("fm") + 1)
     fields = ("start_line", "end_line", "level", "heading")
     keep = lambda s, names: [s[k].alias(k) for k in names]

@@ -19,17 +19,21 @@ def refresh(scanned: DataFrame, files: DataFrame, chunks: DataFrame, max_chars:
     and those of chunks from path and order, so a repeated run gives the same rows. Repeated rows count once; a null path is left out, a null text has no chunk.
     """
     let_workers_import(scanned.sparkSession)
-    s = scanned.where("path is not null").dropDuplicates(["path"]).select("path", F.col("mtime").alias("m1"), "text", F.lit(True).alias("there"))
+    s = scanned.where("path is not null").dropDuplicates(["path"]).select("path", F.col("mtime").alias("m1"), F.lit(True).alias("there"))
     f = files.where("path is not null").dropDuplicates(["path"]).select("path", "id", F.col("file_hash").alias("h0"), F.col("mtime").alias("m0"), F.lit(True).alias("known"))
     both = s.join(f, "path", "full_outer")
     still = F.col("there") & F.col("known") & F.col("m0").eqNullSafe(F.col("m1"))
-    hashed = both.withColumn("h1", content_hash(F.when(F.col("there") & ~F.coalesce(still, F.lit(False)), F.col("text"))))
+    # paths and times are compared first; only texts of files whose time moved, or that are new, are read on, as hashes
+    moved = both.where(F.col("there") & ~F.coalesce(still, F.lit(False))).select("path")
+    hashes = scanned.join(moved, "path", "left_semi").select("path", content_hash(F.col("text")).alias("h1")).dropDuplicates(["path"])
+    hashed = both.join(hashes, "path", "left")
     change = F.when(F.col("known").isNull(), "new").when(F.col("there").isNull(), "deleted").when(still, "unchanged").when(F.col("h0").eqNullSafe(F.col("h1")), "touched").otherwise("changed")
     state = cut(hashed.select("path", F.coalesce("id", F.xxhash64("path")).alias("id"), change.alias("change"), F.when(still, F.col("h0")).otherwise(F.col("h1")).alias("file_hash"), F.coalesce("m1", "m0").alias("mtime")))
     live = state.where("change <> 'deleted'").select("id", "path", "file_hash", "mtime")
     kept = chunks.dropDuplicates(["id"]).join(state.where("change in ('unchanged', 'touched')").select(F.col("id").alias("file_id")), "file_id", "left_semi")
     columns = ["id", "file_id", "chunk_order", "section_id", "heading", "level", "start_line", "end_line", "content"]
-    todo = s.select("path", "text").join(state.where("change in ('new', 'changed')").select("path", "id"), "path").select("id", "text")
+    todo = scanned.select("path", "text").join(state.where("change in ('new', 'changed')").select("path", "id"), "path").select("id", "text")
+    todo = todo.dropDuplicates(["id"])
     made = section_chunks(todo, max_chars, overlap).withColumnRenamed("id", "file_id").withColumn("id", F.xxhash64("file_id", "chunk_order"))
     return {"changes": state.select("path", "change"), "files": live, "chunks": kept.select(columns).unionByName(made.select(columns))}
 

@@ -11,28 +11,30 @@ from corpusloom.runtime import cut
 
 
 def postings(texts: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """(term, id, tf, dl) of (id, text); only `terms` if given. dl counts all tokens of the text."""
+    """(term, id, tf, dl) of (id, text); only `terms` if given. dl counts all tokens of the text. Repeated rows of an id count once."""
     t = texts.select("id", tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
     if terms is not None:
         t = t.withColumn("tokens", F.filter("tokens", lambda x: x.isin(terms)))
-    return t.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
+    counted = t.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    copies = texts.where("text is not null").groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1")
+    return counted.join(copies, "id", "left").select("term", "id", (F.col("tf") / F.coalesce("copies", F.lit(1))).cast("long").alias("tf"), "dl")
 
 
 def lexical_stats(texts: DataFrame) -> tuple[float, float]:
     """Number of texts and mean number of tokens."""
-    r = texts.select(F.size(tokens(F.col("text"))).alias("dl")).where("dl >= 0").agg(F.count("*"), F.avg("dl")).first()
+    r = texts.select("id", F.size(tokens(F.col("text"))).alias("dl")).where("dl >= 0").dropDuplicates(["id"]).agg(F.count("*"), F.avg("dl")).first()
     return float(r[0]), float(r[1] or 1.0)
 
 
 def bm25(texts: DataFrame, query: list[str]) -> DataFrame:
-    """(id, score) of the texts that hold a term of the query. Terms are counted once; null texts are not counted.
+    """(id, score) of the texts that hold a term of the query. Terms are counted once; null texts are not counted, repeated rows of an id once.
 
     Texts are tokenised once: their length and the counts of the query's terms are all that is kept.
     """
     terms = sorted({t.lower() for t in query})
     toks = texts.where("text is not null").select("id", F.explode(F.array(tokens(F.col("text")))).alias("toks"))
     counts = F.array(*[_count(t) for t in terms])
-    profile = cut(toks.select("id", F.size("toks").alias("dl"), counts.alias("tf")))
+    profile = cut(toks.select("id", F.size("toks").alias("dl"), counts.alias("tf")).dropDuplicates(["id"]))
     each = [F.sum((F.get("tf", k) > 0).cast("long")).alias(f"df{k}") for k in range(len(terms))]
     figures = profile.agg(F.count("*").alias("n"), F.avg("dl").alias("avg_dl"), *each).first()
     n, avg_dl = float(figures["n"]), float(figures["avg_dl"] or 1.0)
@@ -40,6 +42,23 @@ def bm25(texts: DataFrame, query: list[str]) -> DataFrame:
     return profile.where(F.exists("tf", lambda x: x > 0)).select("id", sum(weights, F.lit(0.0)).alias("score"))
 
 
+def search_many(queries: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(query, id, score, rank): the k best of (id, text) by BM25 for each of (query), all queries in one join on their terms.
+
+    Only postings of terms that some query has are kept. Scores tie at nine digits, then the smaller id comes first.
+    """
+    terms = queries.select("query", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")).distinct()
+    words = texts.where("text is not null").select("id", tokens(F.col("text")).alias("toks")).select("id", F.size("toks").alias("dl"), F.explode_outer("toks").alias("term"))
+    n, avg_dl = lexical_stats(texts)
+    kept = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    copies = texts.where("text is not null").groupBy("id").agg(F.count("*").alias("copies")).where("copies > 1")
+    kept = cut(kept.join(copies, "id", "left").withColumn("tf", (F.col("tf") / F.coalesce("copies", F.lit(1))).cast("long")).drop("copies"))
+    weighed = kept.join(kept.groupBy("term").agg(F.count("*").alias("df")), "term").select("term", "id", S.bm25_term(F.col("tf"), F.col("dl"), F.col("df"), n, avg_dl).alias("w"))
+    scored = terms.join(weighed, "term").groupBy("query", "id").agg(F.sum("w").alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def _count(term: str) -> Column:
     return F.size(F.filter("toks", lambda x: x == term))
 
@@ -67,10 +86,14 @@ def rrf(lexical: DataFrame, vector: DataFrame, k: int = 60, boost_top: int = 3,
     return both.withColumn("score", part("lexical_rank", weights[0]) + part("vector_rank", weights[1]))
 
 
+MOST_CANDIDATES = 10_000  # of one query; a reranker takes a few hundred
+
+
 def diverse_candidates(ranked_rows: DataFrame, most: int, per_file: int) -> DataFrame:
     """First the `per_file` best of every file, however many, then others by rank up to `most` in all. Needs (file, rank)."""
     rows = ranked_rows.withColumn("first", F.row_number().over(Window.partitionBy("file").orderBy("rank")) <= per_file)
-    everything = Window.partitionBy(F.lit(1))  # the candidates of one query, a list bounded by its top k
+    everything = Window.partitionBy(F.lit(1))  # the candidates of one query, bounded by its top k: the first MOST_CANDIDATES by rank
+    rows = rows.orderBy("rank").limit(MOST_CANDIDATES)
     rows = rows.withColumn("n_first", F.sum(F.col("first").cast("int")).over(everything)).withColumn("place", F.row_number().over(everything.orderBy(F.desc("first"), "rank")))
     return rows.where(F.col("place") <= F.greatest(F.lit(most), F.col("n_first"))).drop("first", "n_first")
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.functions.paths import basename, extension, parent_of, resolve, slug
+from corpusloom.functions.paths import basename, extension, parent_of, slug
 from corpusloom.operators import documents as D
-from corpusloom.operators.references import file_ids
+from corpusloom.plans.links import FILES_SQL, LINKS_SQL as RESOLVED_SQL, RESOLVE_SQL, SLUG_SQL, resolved_links
 from corpusloom.runtime import spread, table
 
 
@@ -21,7 +21,7 @@ def doc_headings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _LINES = "l AS (SELECT doc_id AS id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), li AS (SELECT id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no, len(ls) AS n FROM l)"
-_SLUG = lambda x: f"trim(regexp_replace(regexp_replace(lower({x}), '[^a-z0-9-]+', '-', 'g'), '-{{2,}}', '-', 'g'), '-')"
+_SLUG = SLUG_SQL
 _HEADS = f"{_LINES}, h AS (SELECT id, line_no, n, len(regexp_extract(line, '^(#{{1,6}})[ \\t]+(.+)$', 1)) AS level, trim(regexp_extract(line, '^(#{{1,6}})[ \\t]+(.+)$', 2), ' ') AS heading FROM li WHERE regexp_matches(line, '^(#{{1,6}})[ \\t]+(.+)$'))"
 HEADINGS_SQL = f"WITH {_HEADS} SELECT id, line_no::INTEGER AS line_no, level::INTEGER AS level, heading, {_SLUG('heading')} AS section_id FROM h"
 
@@ -126,18 +126,11 @@ PARSED_SQL = f"WITH f AS (SELECT id, unnest(regexp_extract_all(raw, '{_REF}')) A
 
 def backlink_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Links to every resolved path from other files."""
-    links = table(spark, folder, "links").dropDuplicates(["id"]).where("target_path is not null and target_path <> ''")
-    ids = file_ids(table(spark, folder, "files"))
-    rows = links.join(ids.select(F.col("file_id").alias("source_file_id"), "path"), "source_file_id").select("path", resolve(F.col("target_path")).alias("target"))
-    return rows.where("target <> path").groupBy("target").agg(F.count("*").alias("backlinks"), F.count_distinct("path").alias("sources"))
+    return resolved_links(spark, folder).where("target <> source_path").groupBy("target").agg(F.count("*").alias("backlinks"), F.count_distinct("source_path").alias("sources"))
 
 
-_RESOLVE_LIST = lambda x: f"('/' || array_to_string(list_reduce(list_transform(list_filter(string_split(replace({x}, chr(92), '/'), '/'), lambda s: s <> '' AND s <> '.'), lambda s: [s]), lambda acc, s: CASE WHEN s[1] = '..' THEN list_slice(acc, 1, len(acc) - 1) ELSE list_concat(acc, s) END, []::VARCHAR[]), '/'))"
-BACKLINK_SQL = f"""
-WITH i AS (SELECT id, arg_max(path, (last_indexed, path)) AS path FROM files GROUP BY id),
-r AS (SELECT i.path, {_RESOLVE_LIST('target_path')} AS target FROM (SELECT DISTINCT id, source_file_id, target_path FROM links WHERE target_path <> '') l JOIN i ON i.id = source_file_id)
-SELECT target, count(*) AS backlinks, count(DISTINCT path) AS sources FROM r WHERE target <> path GROUP BY target
-"""
+_RESOLVE_LIST = RESOLVE_SQL
+BACKLINK_SQL = f"WITH {FILES_SQL}, {RESOLVED_SQL} SELECT target, count(*) AS backlinks, count(DISTINCT source_path) AS sources FROM lk WHERE target <> source_path GROUP BY target"
 
 
 def keywords(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,49 +6,90 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators import documents as D
+from corpusloom.operators import refresh as M
 from corpusloom.operators import retrieval as R
 from corpusloom.plans.corpus import _RESOLVE_LIST, _SLUG
-from corpusloom.plans.search import distinct_chunks, latest_files
+from corpusloom.plans.links import FILES_SQL, LINKS_SQL, latest_files, resolved_links
+from corpusloom.plans.search import distinct_chunks
 from corpusloom.runtime import table
 from corpusloom.streaming import events as E
 
 
-def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Hit rates and mean reciprocal rank per link type: a link's text is the query, its raw words are sought in the headings of the target's file.
+def cases(spark: SparkSession, folder: str) -> DataFrame:
+    """(case_id, link_type, path, section, query): links with a section as evaluation cases, those whose id is divisible by 100.
 
-    A case is a link with a section; the ranking is the chunks of its target file by order; gold is the chunk of that section.
+    The words of the section are the query; gold is every chunk of that section in the target file.
     """
-    files = latest_files(spark, folder).select("file_id", "path")
-    chunks = distinct_chunks(spark, folder).select("file_id", "section_id", "chunk_order").join(files, "file_id")
-    ranked = chunks.withColumn("rank", F.row_number().over(Window.partitionBy("path").orderBy("chunk_order", "section_id"))).groupBy("path", "section_id").agg(F.min("rank").alias("rank"))
-    links = table(spark, folder, "links").dropDuplicates(["id"]).where("target_path like '/%' and target_section <> ''").select("id", "link_type", F.col("target_path").alias("path"), F.col("target_section").alias("section_id"))
-    cases = links.join(ranked, ["path", "section_id"], "left")
-    return cases.groupBy("link_type").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce((F.col("rank") <= 1).cast("double"), F.lit(0.0))), 6).alias("hit_1"), F.round(F.avg(F.coalesce((F.col("rank") <= 3).cast("double"), F.lit(0.0))), 6).alias("hit_3"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
-
-
-METRICS_SQL = """
-WITH f AS (SELECT id, arg_max(path, (last_indexed, coalesce(mtime, 0))) AS path FROM files GROUP BY id),
-r0 AS (SELECT path, section_id, row_number() OVER (PARTITION BY path ORDER BY chunk_order, section_id NULLS FIRST) AS rank FROM (SELECT DISTINCT id, file_id, section_id, chunk_order FROM chunks) c JOIN f ON f.id = c.file_id),
-r AS (SELECT path, section_id, min(rank) AS rank FROM r0 GROUP BY ALL),
-l AS (SELECT DISTINCT id, link_type, target_path, target_section FROM links WHERE target_path LIKE '/%' AND target_section <> '')
-SELECT link_type, count(*) AS n, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0 END), 6) AS hit_3, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM l LEFT JOIN r ON path = target_path AND section_id = target_section GROUP BY link_type
+    links = resolved_links(spark, folder).where("section <> '' and id % 100 = 0")
+    return links.select(F.col("id").alias("case_id"), "link_type", F.col("target").alias("path"), "section", F.translate("section", "-", " ").alias("query"))
+
+
+def _search_run(spark: SparkSession, folder: str, asked: DataFrame, text: str, variant: str) -> DataFrame:
+    """(case_id, variant, rank): where a search of all chunks by the text column finds a gold chunk; no row for a miss."""
+    texts = table(spark, folder, "chunks").select("id", F.col(text).alias("text"))
+    found = R.search_many(asked.select("query").distinct(), texts, 20)
+    homes = table(spark, folder, "chunks").select("id", "file_id", "section_id").distinct().join(latest_files(spark, folder).select("file_id", "path"), "file_id")
+    hits = found.join(homes.select("id", "path", F.col("section_id").alias("section")), "id")
+    return asked.join(hits, ["query", "path", "section"]).groupBy("case_id").agg(F.min("rank").alias("rank")).select("case_id", F.lit(variant).alias("variant"), "rank")
+
+
+def retrieval_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Hit rates and mean reciprocal rank per link type: every case is searched for among all chunks in one batch, twenty results each."""
+    asked = cases(spark, folder)
+    done = asked.join(_search_run(spark, folder, asked, "content", "content").select("case_id", "rank"), "case_id", "left")
+    hit = lambda k: F.round(F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))), 6).alias(f"hit_{k}")
+    return done.groupBy("link_type").agg(F.count("*").alias("n"), hit(1), hit(3), hit(10), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
+
+
+def _run_sql(column: str, name: str) -> str:
+    return f"""
+d_{name} AS (SELECT id, regexp_extract_all(lower({column}), '[\\p{{L}}\\p{{N}}_]+') AS toks FROM (SELECT DISTINCT id, {column} FROM chunks) WHERE {column} IS NOT NULL),
+st_{name} AS (SELECT count(*)::DOUBLE AS n, avg(len(toks)) AS a FROM d_{name}),
+tf_{name} AS (SELECT id, len(toks) AS dl, term, len(list_filter(toks, lambda x: x = term)) AS tf FROM d_{name}, (SELECT DISTINCT term FROM terms) WHERE list_contains(toks, term)),
+df_{name} AS (SELECT term, count(*) AS df FROM tf_{name} GROUP BY term),
+sc_{name} AS (SELECT query, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS score FROM terms JOIN tf_{name} USING (term) JOIN df_{name} USING (term), st_{name} GROUP BY query, id),
+rk_{name} AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, id) AS rank FROM sc_{name} QUALIFY rank <= 20),
+hit_{name} AS (SELECT case_id, min(rank) AS rank FROM cs JOIN rk_{name} USING (query) JOIN (SELECT DISTINCT id, file_id, section_id FROM chunks) c USING (id) JOIN files_l ON files_l.file_id = c.file_id WHERE f.p = path AND section_id = section GROUP BY case_id)"""
+
+
+_CASES = f"""{FILES_SQL}, {LINKS_SQL},
+cs AS (SELECT id AS case_id, link_type, target AS path, section, replace(section, '-', ' ') AS query FROM lk WHERE section <> '' AND id % 100 = 0),
+terms AS (SELECT DISTINCT query, unnest(regexp_extract_all(query, '[\\p{{L}}\\p{{N}}_]+')) AS term FROM cs)"""
+METRICS_SQL = f"""
+WITH {_CASES}, {_run_sql("content", "c")}
+SELECT link_type, count(*) AS n, {", ".join(f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0 END), 6)::DOUBLE AS hit_{k}" for k in (1, 3, 10))}, round(avg(coalesce(1.0 / rank, 0)), 6)::DOUBLE AS mrr FROM cs LEFT JOIN hit_c USING (case_id) GROUP BY link_type
+"""
+
+
+def run_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    """The same cases under two variants: searched for in contents, and in headings."""
+    asked = cases(spark, folder)
+    runs = _search_run(spark, folder, asked, "content", "content").unionByName(_search_run(spark, folder, asked, "heading", "heading"))
+    missed = asked.select("case_id", F.explode(F.array(F.lit("content"), F.lit("heading"))).alias("variant"), F.lit(None).cast("int").alias("rank"))
+    out = M.compare_runs(runs.unionByName(missed), ["content", "heading"])
+    return out.withColumns({v: F.round(v, 6) for v in ("content", "heading")})
+
+
+COMPARE_SQL = f"""
+WITH {_CASES}, {_run_sql("content", "c")}, {_run_sql("heading", "h")},
+x AS (SELECT case_id, coalesce(1.0 / c.rank, 0)::DOUBLE AS a, coalesce(1.0 / h.rank, 0)::DOUBLE AS b FROM cs LEFT JOIN hit_c c USING (case_id) LEFT JOIN hit_h h USING (case_id))
+SELECT case_id, round(a, 6) AS content, round(b, 6) AS heading, CASE WHEN b > a THEN 'heading' ELSE 'content' END AS best FROM x
 """
 
 
 def one_hop(spark: SparkSession, folder: str) -> DataFrame:
     """Sections of the ten files with most chunks and what is one link away, forth or back, at 0.8 of the score."""
     files = latest_files(spark, folder).select("file_id", "path")
-    links = table(spark, folder, "links").dropDuplicates(["id"]).where("target_path like '/%'").join(files, F.col("source_file_id") == F.col("file_id"))
-    edges = links.select(F.col("path").alias("source_path"), F.coalesce("source_section_id", F.lit("")).alias("source_section"), "target_path", F.coalesce("target_section", F.lit("")).alias("target_section"))
+    edges = resolved_links(spark, folder).select("source_path", "source_section", F.col("target").alias("target_path"), F.col("section").alias("target_section"))
     top = R.ranked(distinct_chunks(spark, folder).groupBy(F.col("file_id").alias("id")).agg(F.count("*").alias("score")).where("id is not null"), 10)
     sections = distinct_chunks(spark, folder).select(F.col("file_id").alias("id"), F.coalesce("section_id", F.lit("")).alias("section")).distinct()
     results = top.join(sections, "id").join(files, F.col("id") == F.col("file_id")).select("path", "section", F.col("score").cast("double").alias("score"))
     return R.expand_one_hop(results, edges, 0.8).withColumn("score", F.round("score", 6))
 
 
-HOP_SQL = """
-WITH f AS (SELECT id, arg_max(path, (last_indexed, coalesce(mtime, 0))) AS path FROM files GROUP BY id), c AS (SELECT DISTINCT id, file_id, coalesce(section_id, '') AS s FROM chunks),
-e0 AS (SELECT DISTINCT f.path AS sp, coalesce(source_section_id, '') AS ss, target_path AS tp, coalesce(target_section, '') AS ts FROM links JOIN f ON f.id = source_file_id WHERE target_path LIKE '/%'),
+HOP_SQL = f"""
+WITH {FILES_SQL}, {LINKS_SQL}, f AS (SELECT id, arg_max(path, (last_indexed, coalesce(mtime, 0))) AS path FROM files GROUP BY id), c AS (SELECT DISTINCT id, file_id, coalesce(section_id, '') AS s FROM chunks),
+e0 AS (SELECT DISTINCT source_path AS sp, source_section AS ss, target AS tp, section AS ts FROM lk),
 e AS (FROM e0 UNION SELECT tp, ts, sp, ss FROM e0),
 t AS (SELECT file_id, count(*) AS n FROM c WHERE file_id IS NOT NULL GROUP BY file_id ORDER BY n DESC, file_id LIMIT 10),
 r AS (SELECT DISTINCT path, s AS section, n::DOUBLE AS score FROM t JOIN c USING (file_id) JOIN f ON f.id = file_id)
@@ -78,7 +119,7 @@ def heading_boosts(spark: SparkSession, folder: str) -> DataFrame:
 BOOST_SQL = "SELECT id, round(1 + 0.5 * (contains(lower(heading), 'tune')::INTEGER + contains(lower(heading), 'the')::INTEGER + contains(lower(heading), 'glossary')::INTEGER) / 3.0, 6)::DOUBLE AS factor FROM (SELECT DISTINCT id, heading FROM chunks) WHERE contains(lower(heading), 'tune') OR contains(lower(heading), 'the') OR contains(lower(heading), 'glossary')"
 
 
-def resolved_links(spark: SparkSession, folder: str) -> DataFrame:
+def document_links(spark: SparkSession, folder: str) -> DataFrame:
     """Links found in documents with their targets made absolute, and whether a document of that path exists."""
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("/"), "path").alias("source_path"), "text")
     found = D.resolved(D.links(docs).join(docs.select("id", "source_path"), "id"))
@@ -103,8 +144,8 @@ def set_operations(spark: SparkSession, folder: str) -> DataFrame:
 
 SETS_SQL = "SELECT path, 'indexed' AS state FROM (SELECT DISTINCT path FROM files EXCEPT SELECT path FROM file_deletions) UNION ALL SELECT path, 'deleted' FROM (SELECT DISTINCT path FROM file_deletions EXCEPT SELECT path FROM files) UNION ALL SELECT path, 'both' FROM (SELECT DISTINCT path FROM files INTERSECT SELECT path FROM file_deletions)"
 
-QUERIES = {"retrieval_metrics": retrieval_metrics, "one_hop": one_hop, "rerank_selection": rerank_selection, "heading_boosts": heading_boosts, "resolved_links": resolved_links, "event_windows": event_windows, "set_operations": set_operations}
-SQL = {"retrieval_metrics": METRICS_SQL, "one_hop": HOP_SQL, "rerank_selection": RERANK_SQL, "heading_boosts": BOOST_SQL, "event_windows": WINDOWS_SQL, "set_operations": SETS_SQL}
+QUERIES = {"retrieval_metrics": retrieval_metrics, "one_hop": one_hop, "rerank_selection": rerank_selection, "heading_boosts": heading_boosts, "resolved_links": document_links, "run_comparison": run_comparison, "event_windows": event_windows, "set_operations": set_operations}
+SQL = {"retrieval_metrics": METRICS_SQL, "run_comparison": COMPARE_SQL, "one_hop": HOP_SQL, "rerank_selection": RERANK_SQL, "heading_boosts": BOOST_SQL, "event_windows": WINDOWS_SQL, "set_operations": SETS_SQL}
 
 # p2_found in SQL: the same rules, judged on all rows
 ORPHAN_SQL = f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import formats as X
@@ -14,7 +14,7 @@ from corpusloom.operators import refresh as R
 from corpusloom.plans.corpus import _HEADS, _SLUG, _docs
 from corpusloom.plans.inspection import AUTHORITY_SQL
 from corpusloom.plans.outline import CHUNKS_SQL
-from corpusloom.plans.search import distinct_chunks, latest_files
+from corpusloom.plans.search import latest_files
 from corpusloom.runtime import table
 
 
@@ -54,27 +54,6 @@ SELECT m.id, s::INTEGER AS start_line, e::INTEGER AS end_line, md5(array_to_stri
 """
 
 
-def run_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    """Links with a section as cases: the rank of the section among the chunks of its file by order and by length."""
-    files = latest_files(spark, folder).select("file_id", "path")
-    chunks = distinct_chunks(spark, folder).where("section_id is not null").select("id", "file_id", "section_id", "chunk_order", "char_count").join(files, "file_id")
-    by = lambda *order: F.row_number().over(Window.partitionBy("path").orderBy(*order, "id"))
-    ranks = chunks.withColumns({"o": by(F.asc_nulls_last("chunk_order")), "l": by(F.desc_nulls_last("char_count"))}).groupBy("path", "section_id").agg(F.min("o").alias("o"), F.min("l").alias("l"))
-    cases = table(spark, folder, "links").dropDuplicates(["id"]).where("target_path like '/%' and target_section <> ''").select(F.col("id").alias("case_id"), F.col("target_path").alias("path"), F.col("target_section").alias("section_id"))
-    found = cases.join(ranks, ["path", "section_id"], "left")
-    results = found.select("case_id", F.explode(F.array(F.struct(F.lit("by_order").alias("variant"), F.col("o").alias("rank")), F.struct(F.lit("by_length").alias("variant"), F.col("l").alias("rank")))).alias("x")).select("case_id", "x.*")
-    out = R.compare_runs(results, ["by_order", "by_length"])
-    return out.withColumns({v: F.round(v, 6) for v in ("by_order", "by_length")})
-
-
-COMPARE_SQL = """
-WITH f AS (SELECT id, arg_max(path, (last_indexed, coalesce(mtime, 0))) AS path FROM files GROUP BY id), c AS (SELECT DISTINCT c.id, path, section_id, chunk_order, char_count FROM chunks c JOIN f ON f.id = c.file_id WHERE section_id IS NOT NULL),
-k AS (SELECT path, section_id, row_number() OVER (PARTITION BY path ORDER BY chunk_order NULLS LAST, id) AS o, row_number() OVER (PARTITION BY path ORDER BY char_count DESC NULLS LAST, id) AS l FROM c),
-r AS (SELECT path, section_id, min(o) AS o, min(l) AS l FROM k GROUP BY ALL), x AS (SELECT DISTINCT id, target_path, target_section FROM links WHERE target_path LIKE '/%' AND target_section <> '')
-SELECT x.id AS case_id, coalesce(round(1.0 / o, 6), 0)::DOUBLE AS by_order, coalesce(round(1.0 / l, 6), 0)::DOUBLE AS by_length, CASE WHEN coalesce(1.0 / l, 0) > coalesce(1.0 / o, 0) THEN 'by_length' ELSE 'by_order' END AS best FROM x LEFT JOIN r ON path = target_path AND section_id = target_section
-"""
-
-
 def authority_batches(spark: SparkSession, folder: str) -> DataFrame:
     """The files of every folder in batches of five, from the most telling on."""
     f = latest_files(spark, folder).where("path is not null").select(parent_of(F.col("path")).alias("folder"), F.col("file_id").cast("string").alias("path"), F.round(I.authority(F.col("path"), F.col("size_bytes"), F.col("title")), 6).alias("authority"))
@@ -127,9 +106,9 @@ def vector_codecs(spark: SparkSession, folder: str) -> DataFrame:
 CODEC_SQL = "SELECT vec_id, (4 * len(embedding))::INTEGER AS n_bytes, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS squares, list_sum(list_transform(embedding, lambda x: trunc(x * 100::FLOAT)::INTEGER))::INTEGER AS small_sum FROM embeddings"
 
 QUERIES = {
-    "refreshed_index": refreshed_index, "read_sections": read_sections, "run_comparison": run_comparison, "authority_batches": authority_batches, "formatted_files": formatted_files,
+    "refreshed_index": refreshed_index, "read_sections": read_sections, "authority_batches": authority_batches, "formatted_files": formatted_files,
     "json_in_text": json_in_text, "vector_codecs": vector_codecs,
 }
 SQL = {
-    "refreshed_index": REFRESH_SQL, "read_sections": READ_SQL, "run_comparison": COMPARE_SQL, "authority_batches": BATCH_SQL, "formatted_files": FORMAT_SQL, "json_in_text": JSON_SQL, "vector_codecs": CODEC_SQL,
+    "refreshed_index": REFRESH_SQL, "read_sections": READ_SQL, "authority_batches": BATCH_SQL, "formatted_files": FORMAT_SQL, "json_in_text": JSON_SQL, "vector_codecs": CODEC_SQL,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import scoring as S
 from corpusloom.operators import retrieval as R
+from corpusloom.plans.links import FILES_SQL, LINKS_SQL, latest_files, resolved_links
 from corpusloom.runtime import table
 
 NOW = 1_780_000_000  # 'now' is a parameter everywhere, so results can be repeated
@@ -19,6 +20,7 @@ TERMS = ["threshold", "glossary", "snapshot", "orphan"]
 class SearchConfig:
     """Tunables of hybrid search with their defaults."""
 
+    model: str = "ember-64"
     top_k: int = 20
     rrf_k: int = 60
     boost_top: int = 3
@@ -37,15 +39,9 @@ def distinct_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "chunks").dropDuplicates(["id"])
 
 
-def latest_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per file id: its latest indexing pass."""
-    f = table(spark, folder, "files")
-    best = F.max_by(F.struct("path", "collection_id", "mtime", "last_indexed", "size_bytes", "chunk_count", "title"), F.struct("last_indexed", F.coalesce("mtime", F.lit(0)))).alias("f")
-    return f.groupBy("id").agg(best).select(F.col("id").alias("file_id"), "f.*")
-
-
 def chunk_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return distinct_chunks(spark, folder).select("id", F.col("content").alias("text"))
+    """Contents with repeated rows, which the index drops by id once contents are reduced to terms."""
+    return table(spark, folder, "chunks").select("id", F.col("content").alias("text"))
 
 
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,9 +109,7 @@ _HAMMING = "1 - len(list_filter(list_zip(embedding, qv), lambda p: (p[1] > 0) <>
 
 def _signals(spark: SparkSession, folder: str) -> DataFrame:
     """Backlinks per target path, without links of a file to itself."""
-    links = table(spark, folder, "links").dropDuplicates(["id"])
-    files = latest_files(spark, folder).select("file_id", "path")
-    return links.where("target_path is not null and target_path <> ''").join(files, links["source_file_id"] == files["file_id"]).where("target_path <> path").groupBy("target_path").agg(F.count("*").alias("backlinks"))
+    return resolved_links(spark, folder).where("target <> source_path").groupBy(F.col("target").alias("target_path")).agg(F.count("*").alias("backlinks"))
 
 
 def hybrid_search(spark: SparkSession, folder: str, config: SearchConfig | None = None) -> DataFrame:
@@ -124,14 +118,15 @@ def hybrid_search(spark: SparkSession, folder: str, config: SearchConfig | None
     The query vector is that of the best lexical hit that has one, among the vectors of its model.
     """
     c = config or SearchConfig()
-    chunks = distinct_chunks(spark, folder)
-    lexical = R.ranked(R.bm25(chunks.select("id", F.col("content").alias("text")), TERMS), 3 * c.top_k)
-    vectors = table(spark, folder, "chunk_vectors").where("vector is not null and size(vector) = dimensions and model = 'ember-64'").dropDuplicates(["chunk_id"]).select(F.col("chunk_id").alias("id"), F.col("vector").alias("v"))
+    lexical = R.ranked(R.bm25(chunk_texts(spark, folder), TERMS), 3 * c.top_k)
+    vectors = table(spark, folder, "chunk_vectors").where(F.col("vector").isNotNull() & (F.size("vector") == F.col("dimensions")) & (F.col("model") == c.model)).dropDuplicates(["chunk_id"]).select(F.col("chunk_id").alias("id"), F.col("vector").alias("v"))
     seed = lexical.join(vectors, "id").orderBy("rank").select("v").first()
     rankings = R.nearest(vectors, list(seed["v"]), 3 * c.top_k, "cosine") if seed else lexical.limit(0)
     fused = R.rrf(lexical, rankings, c.rrf_k, c.boost_top, c.boost, c.weights)
     files = latest_files(spark, folder)
-    rows = fused.join(chunks.select("id", "file_id", "section_id", "heading", "content"), "id").join(files.select("file_id", F.col("path").alias("file"), "mtime"), "file_id")
+    # two rankings of top k candidates: the only rows whose contents are fetched
+    chunks = table(spark, folder, "chunks").select("id", "file_id", "section_id", "heading", "content").join(F.broadcast(fused), "id").dropDuplicates(["id"])
+    rows = chunks.join(files.select("file_id", F.col("path").alias("file"), "mtime"), "file_id")
     rows = rows.join(_signals(spark, folder), F.col("file") == F.col("target_path"), "left")
     score = S.final_score(F.col("score"), S.recency(F.col("mtime"), NOW, c.half_life_days), c.recency_weight, F.lit(1.0)) * S.backlink_boost(F.col("backlinks"), c.backlink_weight) * S.path_boost(F.col("file"), c.path_boosts)
     rows = R.best_per_section(rows.withColumn("score", score)).select("id", "file", "section", "heading", "score", "content")
@@ -141,7 +136,7 @@ def hybrid_search(spark: SparkSession, folder: str, config: SearchConfig | None
     return top.withColumn("keep", n).where("rank <= keep").select("rank", "id", "file", "section", F.round("score", 6).alias("score"), "n_duplicates")
 
 
-_FILES = "files_l AS (SELECT id AS file_id, arg_max(struct_pack(p := path, m := mtime), (last_indexed, coalesce(mtime, 0))) AS f FROM files GROUP BY id)"
+_FILES = FILES_SQL
 HYBRID_SQL = f"""
 WITH {_BM25},
 lex AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM bm ORDER BY score DESC, id LIMIT 60),
@@ -151,7 +146,7 @@ sim AS (SELECT id, CASE WHEN nv > 0 AND nq > 0 THEN d / (nv * nq) ELSE 0 END AS
 vr AS (SELECT id, row_number() OVER (ORDER BY s DESC, id) AS r FROM sim ORDER BY s DESC, id LIMIT 60),
 fused AS (SELECT coalesce(l.id, v.id) AS id, coalesce(CASE WHEN l.r <= 3 THEN 2.0 ELSE 1.0 END / (60 + l.r), 0) + coalesce(CASE WHEN v.r <= 3 THEN 2.0 ELSE 1.0 END / (60 + v.r), 0) AS score FROM lex l FULL JOIN vr v ON l.id = v.id),
 {_FILES},
-back AS (SELECT target_path, count(*) AS n FROM (SELECT DISTINCT id, source_file_id, target_path FROM links) l JOIN files_l ON file_id = source_file_id WHERE target_path <> '' AND target_path <> f.p GROUP BY target_path),
+{LINKS_SQL}, back AS (SELECT target AS target_path, count(*) AS n FROM lk WHERE target <> source_path GROUP BY target),
 c AS ({_CHUNKS}),
 rows AS (SELECT c.id, f.p AS file, split_part(coalesce(section_id, ''), '::', 1) AS section, content,
   score * (1 + 0.2 * coalesce(pow(0.5, greatest(0, (1780000000 - f.m) / 86400.0) / 30), 1)) * (1 + 0.1 * log2(1.0 + coalesce(n, 0))) *
@@ -184,7 +179,7 @@ SELECT coalesce(l.id, v.id) AS id, round(coalesce(CASE WHEN l.r <= 3 THEN 2.0 EL
 
 def dedup_content(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks with equal content as one, the longest-lived of them kept, with the number of copies."""
-    rows = distinct_chunks(spark, folder).select("id", "content", F.coalesce("char_count", F.lit(0)).cast("double").alias("score"))
+    rows = table(spark, folder, "chunks").select("id", F.sha2("content", 256).alias("content"), F.coalesce("char_count", F.lit(0)).cast("double").alias("score")).distinct()
     return R.dedup_content(rows)
 
 
@@ -237,7 +232,7 @@ def signal_scores(spark: SparkSession, folder: str) -> DataFrame:
 
 SIGNALS_SQL = f"""
 WITH {_FILES},
-back AS (SELECT target_path, count(*) AS n FROM (SELECT DISTINCT id, source_file_id, target_path FROM links) l JOIN files_l ON file_id = source_file_id WHERE target_path <> '' AND target_path <> f.p GROUP BY target_path),
+{LINKS_SQL}, back AS (SELECT target AS target_path, count(*) AS n FROM lk WHERE target <> source_path GROUP BY target),
 x AS (SELECT file_id, coalesce(pow(0.5, greatest(0, (1780000000 - f.m) / 86400.0) / 30), 1) AS rec, 1 + 0.1 * log2(1.0 + coalesce(n, 0)) AS b, CASE WHEN regexp_matches(f.p, '^(.*/)?docs/.*$') THEN 1.1::DOUBLE WHEN regexp_matches(f.p, '^(.*/)?archive/.*$') THEN 0.8::DOUBLE ELSE 1::DOUBLE END AS pb FROM files_l LEFT JOIN back ON target_path = f.p)
 SELECT file_id, round(rec, 6) AS recency, round(b, 6) AS backlink, pb AS path_boost, round((1 + rec * 0.2) * b * pb, 6) AS score FROM x
 """
@@ -256,17 +251,29 @@ FROM (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS good, count(*
 
 
 def line_search(spark: SparkSession, folder: str) -> DataFrame:
-    """Search of single lines: the statistics are those of each document, hits come with a line of context on either side."""
-    docs = table(spark, folder, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("lines"))
-    lines = docs.select("doc_id", "lines", F.posexplode("lines").alias("k", "line")).where("trim(line) <> ''").withColumn("toks", R.tokens(F.col("line")))
-    per_doc = lines.groupBy("doc_id").agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avg_dl"), *[F.count_if(F.array_contains("toks", t)).alias(f"df_{t}") for t in TERMS])
-    found = lines.where(F.arrays_overlap("toks", F.array(*[F.lit(t) for t in TERMS]))).join(per_doc, "doc_id")
-    def weight(t: str) -> Column:
-        tf = F.size(F.filter("toks", lambda x: x == t))
-        idf = F.log(1.0 + (F.col("n") - F.col(f"df_{t}") + 0.5) / (F.col(f"df_{t}") + 0.5))
-        return F.when(tf > 0, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.size("toks") / F.col("avg_dl")))).otherwise(0.0)
-
-    hits = found.select("doc_id", (F.col("k") + 1).alias("line_no"), sum(map(weight, TERMS)).alias("score"), F.coalesce(F.get("lines", F.col("k") - 1), F.lit("")).alias("before"), "line", F.coalesce(F.get("lines", F.col("k") + 1), F.lit("")).alias("after"))
+    """Search of single lines: the statistics are those of each document, hits come with a line of context on either side.
+
+    All is counted within a document's row: only lines that are hit leave it, with the lines beside them.
+    """
+    once = lambda c: F.explode(F.array(c))
+    docs = table(spark, folder, "documents").where(F.lower("text").rlike("|".join(TERMS))).select("doc_id", once(F.split("text", "\n")).alias("lines"))
+    counted = F.filter(F.transform("lines", lambda s, k: F.struct(k.alias("k"), s.alias("line"), R.tokens(s).alias("toks"))), lambda x: F.trim(x["line"]) != "")
+    docs = docs.select("doc_id", "lines", once(counted).alias("c"))
+    dl = F.aggregate("c", F.lit(0).cast("long"), lambda acc, x: acc + F.size(x["toks"])) / F.size("c")
+    hit = F.filter("c", lambda x: F.arrays_overlap(x["toks"], F.array(*[F.lit(t) for t in TERMS])))
+    beside = lambda k: F.coalesce(F.when(k >= 0, F.get("lines", k)), F.lit(""))
+    uses = lambda toks, t: F.size(F.filter(toks, lambda y: y == t))
+    lines_with = lambda i: F.size(F.filter("hits", lambda x: F.get(x["tf"], F.lit(i)) > 0))
+    rich = F.transform(hit, lambda x: F.struct(x["k"].alias("k"), x["line"].alias("line"), F.size(x["toks"]).alias("dl"), F.array(*[uses(x["toks"], t) for t in TERMS]).alias("tf"), beside(x["k"] - 1).alias("before"), beside(x["k"] + 1).alias("after")))
+    found = docs.where(F.size("c") > 0).select("doc_id", F.size("c").alias("n"), dl.alias("avg_dl"), once(rich).alias("hits")).where(F.size("hits") > 0)
+    df = F.array(*[lines_with(i) for i in range(len(TERMS))])
+    found = found.select("doc_id", "n", "avg_dl", df.alias("df"), F.explode("hits").alias("x")).select("doc_id", "n", "avg_dl", "df", "x.*")
+
+    def weight(i: int) -> Column:
+        tf, d = F.get("tf", F.lit(i)), F.get("df", F.lit(i))
+        return F.when(tf > 0, F.log(1.0 + (F.col("n") - d + 0.5) / (d + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avg_dl")))).otherwise(0.0)
+
+    hits = found.select("doc_id", (F.col("k") + 1).alias("line_no"), sum(map(weight, range(len(TERMS)))).alias("score"), "before", "line", "after")
     return hits.orderBy(F.desc(F.round("score", 9)), "doc_id", "line_no").limit(50).withColumn("score", F.round("score", 6))
 
 
