@@ -1,8 +1,9 @@
 """References to records that do not exist: direct orphans and what inherits from them.
 
-Every reference of the index is an edge of a foreign-key graph. Level 0 holds the rows whose own reference fails.
-The cascade then runs to a fixpoint: rows that refer to an orphan are orphans themselves. The only recursive
-edge, chunk to parent chunk, is followed by doubling, so a chain of depth d takes log2(d) semi-joins.
+Every reference of the index is an edge of a foreign-key graph: file to collection, deletion to path and collection, chunk to file and parent
+chunk, vector to chunk, link to source file and section, check result to source file, and the targets of links and results. Level 0
+holds the rows whose own reference fails. The cascade then runs to a fixpoint by semi-joins: rows that refer to an orphan are
+orphans themselves. The only recursive edge, chunk to parent chunk, is followed by doubling, so a chain of depth d takes log2(d) rounds.
 """
 
 from __future__ import annotations
@@ -71,21 +72,38 @@ def judge_targets(refs: DataFrame, states: DataFrame, ids: DataFrame, chunks: Da
 
 
 def cascade_chunks(parents: DataFrame, orphans: DataFrame) -> DataFrame:
-    """Levels of chunks below an orphan chunk: (chunk_id, level), level 0 for the given orphans.
+    """Levels of the orphans (chunk_id, level) and of all chunks below them: (chunk_id, level), the least where there are several.
 
-    parents: (chunk_id, parent_id) with existing parents only. Round k follows pointers of length 2^k; a round that
-    reaches no new chunk proves that none is further away, cycles included.
+    parents: (chunk_id, parent_id), any number of parents a chunk. Round k joins pointers of length 2^k with what is reached so far; chunks
+    reached are settled and their pointers leave. A round that reaches no new chunk proves that none is further away, cycles included.
     """
-    state = parents.join(orphans.select("chunk_id", F.lit(0).alias("level")), "chunk_id", "full_outer").groupBy("chunk_id").agg(F.min("parent_id").alias("up"), F.min("level").alias("level"))
-    state, step, known = cut(state), 1, -1
+    reached = cut(orphans.groupBy("chunk_id").agg(F.min("level").alias("level")))
+    unsettled = lambda df: df.join(reached.select("chunk_id"), "chunk_id", "left_anti")
+    jump, step = cut(unsettled(parents.select("chunk_id", "parent_id").distinct())), 1
     while True:
-        found = state.where("level is not null").count()
-        if found == known:
-            return state.where("level is not null").select("chunk_id", "level")
-        known = found
-        above = state.select(F.col("chunk_id").alias("up"), F.col("up").alias("up2"), F.col("level").alias("up_level"))
-        state = state.join(above, "up", "left").select("chunk_id", F.col("up2").alias("up"), F.coalesce("level", F.col("up_level") + step).alias("level"))
-        state, step = cut(state), step * 2
+        found = cut(jump.join(reached.select(F.col("chunk_id").alias("parent_id"), "level"), "parent_id").groupBy("chunk_id").agg((F.min("level") + step).alias("level")))
+        if found.isEmpty():
+            return reached
+        reached = cut(reached.unionByName(found))
+        # what was settled in this round still carries the pointers of those below it
+        jump = cut(unsettled(jump).join(jump.select(F.col("chunk_id").alias("parent_id"), F.col("parent_id").alias("above")), "parent_id").select("chunk_id", F.col("above").alias("parent_id")).distinct())
+        step *= 2
+
+
+COLUMNS = ["ref_table", "ref_id", "edge", "kind", "reason", "level", "at"]
+
+
+def _rows(df: DataFrame, table: str, key: str, edge: str, kind: str = "direct") -> DataFrame:
+    """Report rows of (key, at) with reason for direct orphans and level for inherited ones."""
+    reason = F.col("reason") if kind == "direct" else F.lit(None).cast("string")
+    level = F.lit(0) if kind == "direct" else F.col("level").cast("int")
+    return df.select(F.lit(table).alias("ref_table"), F.col(key).cast("string").alias("ref_id"), F.lit(edge).alias("edge"), F.lit(kind).alias("kind"), reason.alias("reason"), level.alias("level"), "at")
+
+
+def target_orphans(t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(judged targets, file states, file ids): level 0 of the cascade over the edge 'target', reason null where a target resolves."""
+    states, ids = file_states(t["files"], t["file_deletions"]), file_ids(t["files"])
+    return judge_targets(target_references(t["links"], t["ref_results"], ids, t["collections"]), states, ids, t["chunks"]), states, ids
 
 
 def orphan_cascade(t: dict[str, DataFrame]) -> DataFrame:
@@ -93,35 +111,59 @@ def orphan_cascade(t: dict[str, DataFrame]) -> DataFrame:
 
     t: collections, files, file_deletions, chunks, chunk_vectors, links, ref_results. kind is 'direct' when the
     row's own reference over this edge fails, 'inherited' when the row referred to is an orphan; level
-    counts the steps to the nearest direct orphan. A row can appear under several edges, once each. Null keys
-    are no reference. Exact duplicate rows count once. Empty tables give no rows.
+    counts the steps to the nearest direct orphan. A row can appear under several edges, once each. ref_id is the id as text, of a deletion
+    its path. Null keys are no reference. Exact duplicate rows count once. Empty tables give no rows.
     """
-    states, ids = file_states(t["files"], t["file_deletions"]), file_ids(t["files"])
-    targets = judge_targets(target_references(t["links"], t["ref_results"], ids, t["collections"]), states, ids, t["chunks"])
-    direct_targets = targets.where("reason is not null").select("ref_table", "ref_id", F.lit("target").alias("edge"), F.lit("direct").alias("kind"), "reason", F.lit(0).alias("level"), "at")
-
-    known = ids.join(states.select("path", "is_deleted"), "path", "left").select("file_id", F.when(F.col("is_deleted"), "deleted").alias("state"), F.lit(True).alias("there"))
-    gone = lambda: F.when(F.col("there").isNull(), "missing").otherwise(F.col("state"))
-    chunks = t["chunks"].select(F.col("id").alias("chunk_id"), "file_id", F.col("parent_chunk_id").alias("parent_id"), F.col("created_at").alias("at")).distinct()
-    by_file = chunks.where("file_id is not null").join(known, "file_id", "left").select(F.col("chunk_id"), gone().alias("reason"), "at").where("reason is not null")
-    present = chunks.select(F.col("chunk_id").alias("parent_id")).distinct().withColumn("there", F.lit(True))
-    linked = chunks.where("parent_id is not null").join(present, "parent_id", "left").select("chunk_id", "parent_id", "there", "at")
-    dangling = linked.where("there is null").select("chunk_id", F.lit("missing").alias("reason"), "at")
-    direct = cut(by_file.withColumn("edge", F.lit("file")).unionByName(dangling.withColumn("edge", F.lit("parent"))))
-    levels = cascade_chunks(linked.where("there").groupBy("chunk_id").agg(F.max("parent_id").alias("parent_id")), direct.select("chunk_id").distinct())
-
-    as_rows = lambda df, table, key, edge, kind, reason: df.select(F.lit(table).alias("ref_table"), F.col(key).alias("ref_id"), edge.alias("edge"), F.lit(kind).alias("kind"), reason.alias("reason"), F.col("level").cast("int").alias("level"), "at")
-    none = F.lit(None).cast("string")
-    chunk_times = chunks.groupBy("chunk_id").agg(F.min("at").alias("at"))
-    out = direct_targets.unionByName(as_rows(direct.withColumn("level", F.lit(0)), "chunks", "chunk_id", F.col("edge"), "direct", F.col("reason")))
-    out = out.unionByName(as_rows(levels.where("level > 0").join(chunk_times, "chunk_id"), "chunks", "chunk_id", F.lit("parent"), "inherited", none))
+    targets, states, ids = target_orphans(t)
+    targets = cut(targets)
+    homes = t["collections"].select(F.col("id").alias("collection_id"), F.lit(True).alias("home")).distinct()
+    astray = ids.where("collection_id is not null").join(homes, "collection_id", "left_anti").select("file_id", "path", F.lit("missing").alias("reason"))
+    known = cut(ids.join(states.select("path", "is_deleted", F.col("last_indexed").alias("at")), "path", "left").join(astray.select("file_id", F.lit(True).alias("astray")), "file_id", "left").select("file_id", "path", "at", F.when(F.col("is_deleted"), "deleted").alias("state"), F.coalesce("astray", F.lit(False)).alias("astray"), F.lit(True).alias("there")))
+    gone = F.when(F.col("there").isNull(), "missing").otherwise(F.col("state"))
+    out = _rows(known.where("astray").withColumn("reason", F.lit("missing")), "files", "file_id", "collection")
+
+    deletions = t["file_deletions"].select("collection_id", "path", resolve(F.col("path")).alias("resolved"), F.col("deleted_at").alias("at")).distinct()
+    never = deletions.where("path is not null").join(states.select(F.col("path").alias("resolved")), "resolved", "left_anti").withColumn("reason", F.lit("missing"))
+    homeless = deletions.where("collection_id is not null").join(homes, "collection_id", "left_anti").withColumn("reason", F.lit("missing"))
+    out = out.unionByName(_rows(never, "file_deletions", "path", "path")).unionByName(_rows(homeless, "file_deletions", "path", "collection"))
+
+    chunks = t["chunks"].select(F.col("id").alias("chunk_id"), "file_id", F.col("section_id").alias("section"), F.col("parent_chunk_id").alias("parent_id"), F.col("created_at").alias("at")).distinct()
+    filed = chunks.where("file_id is not null").join(known.drop("at", "path"), "file_id", "left").withColumn("reason", gone)
+    present = chunks.select(F.col("chunk_id").alias("parent_id")).distinct()
+    linked = chunks.where("parent_id is not null").select("chunk_id", "parent_id", "at")
+    dangling = linked.join(present, "parent_id", "left_anti").withColumn("reason", F.lit("missing"))
+    by_file, dangling = cut(filed.where("reason is not null or astray").select("chunk_id", "reason", "at")), cut(dangling)
+    seeds = by_file.select("chunk_id", F.when(F.col("reason").isNotNull(), 0).otherwise(1).alias("level")).unionByName(dangling.select("chunk_id", F.lit(0).alias("level")))
+    levels = cascade_chunks(linked.join(present, "parent_id", "left_semi"), seeds)
+    times = chunks.groupBy("chunk_id").agg(F.min("at").alias("at"))
+    below = linked.select("chunk_id", "parent_id").distinct().join(levels.select(F.col("chunk_id").alias("parent_id"), "level"), "parent_id").groupBy("chunk_id").agg((F.min("level") + 1).alias("level")).join(times, "chunk_id")
+    out = out.unionByName(_rows(by_file.where("reason is not null").distinct(), "chunks", "chunk_id", "file")).unionByName(_rows(by_file.where("reason is null").withColumn("level", F.lit(1)).distinct(), "chunks", "chunk_id", "file", "inherited"))
+    out = out.unionByName(_rows(dangling.select("chunk_id", "reason", "at").distinct(), "chunks", "chunk_id", "parent")).unionByName(_rows(below, "chunks", "chunk_id", "parent", "inherited"))
+
     vectors = t["chunk_vectors"].select("chunk_id").where("chunk_id is not null").distinct()
-    lost = vectors.join(present.select(F.col("parent_id").alias("chunk_id")), "chunk_id", "left_anti").withColumn("level", F.lit(0)).withColumn("at", F.lit(None).cast("long"))
-    heirs = vectors.join(levels, "chunk_id").join(chunk_times, "chunk_id").withColumn("level", F.col("level") + 1)
-    out = out.unionByName(as_rows(lost, "chunk_vectors", "chunk_id", F.lit("chunk"), "direct", F.lit("missing"))).unionByName(as_rows(heirs, "chunk_vectors", "chunk_id", F.lit("chunk"), "inherited", none))
-    links = t["links"].select(F.col("id").alias("ref_id"), F.col("source_file_id").alias("file_id"), F.col("indexed_at").alias("at")).where("file_id is not null").distinct()
-    source = links.join(known, "file_id", "left").withColumn("reason", gone()).where("reason is not null").withColumn("level", F.lit(0))
-    return out.unionByName(as_rows(source, "links", "ref_id", F.lit("source"), "direct", F.col("reason")))
+    lost = vectors.join(present.select(F.col("parent_id").alias("chunk_id")), "chunk_id", "left_anti").withColumn("reason", F.lit("missing")).withColumn("at", F.lit(None).cast("long"))
+    heirs = vectors.join(levels, "chunk_id").join(times, "chunk_id").withColumn("level", F.col("level") + 1)
+    out = out.unionByName(_rows(lost, "chunk_vectors", "chunk_id", "chunk")).unionByName(_rows(heirs, "chunk_vectors", "chunk_id", "chunk", "inherited"))
+
+    # sections that stand in orphaned chunks only, per file: what links come from or point to
+    held = chunks.where("section is not null and file_id is not null").select("chunk_id", "file_id", "section").distinct().join(levels, "chunk_id", "left").groupBy("file_id", "section").agg(F.count_if(F.col("level").isNull()).alias("alive"), F.min("level").alias("level"))
+    fallen = cut(held.where("alive = 0").join(ids.select("file_id", "path"), "file_id", "left").select("file_id", "path", "section", "level"))
+    links = t["links"].select(F.col("id").alias("ref_id"), F.col("source_file_id").alias("file_id"), F.col("source_section_id").alias("section"), F.col("indexed_at").alias("at")).where("file_id is not null").distinct()
+    source = cut(links.join(known.drop("at", "path"), "file_id", "left").withColumn("reason", gone))
+    out = out.unionByName(_rows(source.where("reason is not null"), "links", "ref_id", "source")).unionByName(_rows(source.where("reason is null and astray").withColumn("level", F.lit(1)), "links", "ref_id", "source", "inherited"))
+    out = out.unionByName(_rows(links.join(fallen.select("file_id", "section", (F.col("level") + 1).alias("level")), ["file_id", "section"]), "links", "ref_id", "source_section", "inherited"))
+
+    results = t["ref_results"].select(F.col("id").alias("ref_id"), resolve(F.col("source_path")).alias("path"), F.col("checked_at").alias("at")).where("path is not null").distinct()
+    sources = results.join(states.select("path", F.when(F.col("is_deleted"), "deleted").alias("state"), F.lit(True).alias("there")), "path", "left").withColumn("reason", gone)
+    out = out.unionByName(_rows(sources.where("reason is not null"), "ref_results", "ref_id", "source"))
+
+    resolved = targets.where("reason is null and section is not null").join(fallen.groupBy("path", "section").agg(F.min("level").alias("level"), F.count("*").alias("fallen")), ["path", "section"])
+    every = held.join(ids.select("file_id", "path"), "file_id").groupBy("path", "section").agg(F.count_if(F.col("alive") > 0).alias("standing"))
+    heirs = resolved.join(every.where("standing = 0"), ["path", "section"]).withColumn("level", F.col("level") + 1)
+    for name in ("links", "ref_results"):
+        own = F.col("ref_table") == name
+        out = out.unionByName(_rows(targets.where(own & F.col("reason").isNotNull()), name, "ref_id", "target")).unionByName(_rows(heirs.where(own), name, "ref_id", "target", "inherited"))
+    return out.select(COLUMNS)
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

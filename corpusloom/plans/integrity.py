@@ -13,9 +13,9 @@ REFERENCE_TABLES = ("collections", "files", "file_deletions", "chunks", "chunk_v
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Direct orphans among the targets of links and ref_results, with the first reason that holds."""
-    orphans = R.orphan_cascade({n: table(spark, folder, n) for n in REFERENCE_TABLES})
-    return orphans.where("edge = 'target' and kind = 'direct'").select("ref_table", "ref_id", "reason").distinct()
+    """Direct orphans among the targets of links and ref_results, with the first reason that holds: level 0 of the cascade over these edges."""
+    targets, _, _ = R.target_orphans({n: table(spark, folder, n) for n in REFERENCE_TABLES})
+    return targets.where("reason is not null").select("ref_table", "ref_id", "reason").distinct()
 
 
 def p2_report(spark: SparkSession, folder: str) -> DataFrame:
