@@ -28,6 +28,19 @@ def label_index(text: Column) -> Column:
     return F.when(text.rlike("^[a-z]{1,6}$"), index)
 
 
+def label_list(text: Column) -> Column:
+    """The numbers of comma-separated labels, null where one of them is none; null for an empty list."""
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.lower(F.btrim(p))), lambda p: p != "")
+    numbers = F.transform(parts, label_index)
+    return F.when((F.size(parts) > 0) & ~F.exists(numbers, lambda n: n.isNull()), numbers)
+
+
+def same_members(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same values as often, in any order; null counts as empty."""
+    none = lambda x: F.coalesce(F.array_sort(x), F.array().cast("array<long>"))
+    return none(a) == none(b)
+
+
 def duration_seconds(text: Column) -> Column:
     """Seconds of '12h', '2d', '1w', '30m' or '45s'; null for anything else."""
     n, unit = F.regexp_extract(text, r"^(\d{1,9})([smhdw])$", 1), F.regexp_extract(text, r"^(\d{1,9})([smhdw])$", 2)

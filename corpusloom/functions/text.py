@@ -7,6 +7,19 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# fixed values: a code reference is a file with an extension, a separator, a line and maybe a last line, each with an optional token
+REF_FILE, REF_TOKEN = r"[A-Za-z0-9_./~\-]+\.[A-Za-z0-9_+\-]+", r"[A-Za-z0-9]{2,8}"
+REF_FORMS = {":": "-", "#L": "-L"}  # separator before the line, and before the last line
+
+
+def code_reference(named: bool = False) -> str:
+    """Pattern of a code reference in either form. With `named`, of one as a whole: groups 1 file, 2 separator, 3 and 4 line and token, 5 and 6 last line and token."""
+    if named:
+        return rf"^({REF_FILE})({'|'.join(REF_FORMS)})(\d+)(?:@({REF_TOKEN}))?(?:-L?(\d+)(?:@({REF_TOKEN}))?)?$"
+    place = rf"\d+(?:@{REF_TOKEN})?"
+    return rf"{REF_FILE}(?:" + "|".join(f"{first}{place}(?:{last}{place})?" for first, last in REF_FORMS.items()) + ")"
+
+
 # fixed values: words that keyword extraction leaves out
 STOP_WORDS = (
     "able about across after also and are because been before being between both build built could does each file files for from "
@@ -119,6 +132,25 @@ def truncate_bytes(text: Column, n: int) -> Column:
     return F.when(F.octet_length(text) <= n, text).otherwise(F.concat(F.rtrim(F.coalesce(*[F.when(F.is_valid_utf8(c), c) for c in cuts], cuts[0])), F.lit("...")))
 
 
+def truncate_at_sentence(text: Column, n: int) -> Column:
+    """At most n characters: up to the last end of a sentence within them, else cut at a word with '…'. Shorter texts and null stay."""
+    head = F.substring(text, 1, n)
+    whole = F.regexp_extract(head, r"^((?s).*[.!?])(?=\s|$)", 1)
+    word = F.when(head.rlike(r"\s"), F.rtrim(F.regexp_replace(head, r"\s\S*\z", ""))).otherwise(F.substring(text, 1, n - 1))
+    return F.when(F.length(text) <= n, text).when(whole != "", whole).otherwise(F.concat(word, F.lit("…")))
+
+
+def highlight_preview(text: Column, fragments: list[str], n: int) -> Column:
+    """A window of n characters that begins n / 4 before the first place where one of the fragments stands; from the start if none does.
+
+    Fragments are compared without regard to case. '...' marks an end that is not that of the text.
+    """
+    places = F.array_min(F.filter(F.array(*[F.instr(F.lower(text), f.lower()) for f in fragments] or [F.lit(0)]), lambda p: p > 0))
+    begin = F.greatest(F.coalesce(places, F.lit(1)) - n // 4, F.lit(1))
+    cut = F.substring(text, begin, F.lit(n))
+    return F.concat(F.when(begin > 1, "...").otherwise(""), cut, F.when(begin + n - 1 < F.length(text), "...").otherwise(""))
+
+
 def first_sentence(text: Column) -> Column:
     return F.trim(F.regexp_extract(text, r"^([^.!?]*[.!?]?)", 1))
 

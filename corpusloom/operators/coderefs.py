@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.hashing import line_tokens
+from corpusloom.functions.text import code_reference
 
-REFERENCE = r"[A-Za-z0-9_./~\-]+\.[A-Za-z0-9_+\-]+:\d+(?:@[A-Za-z0-9]{2,8})?(?:-\d+(?:@[A-Za-z0-9]{2,8})?)?"
+REFERENCE = code_reference()
+# fixed values: how far a line may have moved, how much a range may have grown, and how sure a result is
+WINDOW, SLACK = 120, 40
+CONFIDENCE = {"valid_exact": 1.0, "valid_shifted": 0.9, "one_of_two_tokens": 0.75, "valid_unchecked": 0.6}
 _BAND = 256  # lines of a bucket in which a reference and a line meet
 _OWN = ["raw", "path", "start", "start_token", "end", "end_token"]
 
@@ -27,7 +31,7 @@ def _near(own: DataFrame, tokens: DataFrame, token: str, lo: Column, hi: Column,
     return joined.select("o.*", F.coalesce(F.col(f"f.{name}"), F.array().cast("array<int>")).alias(name))
 
 
-def validate(refs: DataFrame, lines: DataFrame, window: int = 120, slack: int = 40, length: int = 3) -> DataFrame:
+def validate(refs: DataFrame, lines: DataFrame, window: int = WINDOW, slack: int = SLACK, length: int = 3) -> DataFrame:
     """(id, raw, status, suggested_raw, suggested_start, suggested_end, confidence) for references (id, raw, path, start, start_token, end, end_token).
 
     `lines` are (path, line_no, line) of the targets. missing_file: no line of that path. out_of_bounds: a line beyond the file. valid_exact: all
@@ -60,13 +64,18 @@ def validate(refs: DataFrame, lines: DataFrame, window: int = 120, slack: int =
     )
     r = r.withColumn("status", status)
     at = F.when(F.col("status").isin("valid_exact", "valid_unchecked"), pair(F.col("start"), F.col("start") + F.col("reach"))).when(F.col("status") == "valid_shifted", F.get("places", F.lit(0)))
-    sure = F.when(F.col("status") == "valid_exact", 1.0).when(F.col("status") == "valid_unchecked", 0.6).when((F.col("status") == "valid_shifted") & ended & (free | (F.col("end_token") == "")), 0.75).when(F.col("status") == "valid_shifted", 0.9).otherwise(0.0)
+    half = (F.col("status") == "valid_shifted") & ended & (free | (F.col("end_token") == ""))
+    sure = F.when(half, CONFIDENCE["one_of_two_tokens"])
+    for name in ("valid_exact", "valid_unchecked", "valid_shifted"):
+        sure = sure.when(F.col("status") == name, CONFIDENCE[name])
+    sure = sure.otherwise(0.0)
     r = r.select(*_OWN, "status", at["a"].alias("a"), at["b"].alias("b"), sure.alias("confidence"))
     token_at = lambda k: tokens.select("path", F.col("line_no").alias(k), F.col("token8").alias(f"token_{k}"))
     r = r.join(token_at("a"), ["path", "a"], "left").join(token_at("b"), ["path", "b"], "left")
     size = F.when(~free, F.length("start_token")).when(F.col("end_token") != "", F.length("end_token")).otherwise(length)
     filled = lambda given, k: F.coalesce(F.nullif(F.col(given), F.lit("")), F.substring(f"token_{k}", F.lit(1), size))
-    written = F.concat(F.regexp_extract("raw", r"^(.+?):\d+(?:@[A-Za-z0-9]+)?(?:-\d+(?:@[A-Za-z0-9]+)?)?$", 1), F.lit(":"), F.col("a"), F.lit("@"), filled("start_token", "a"), F.when(ended, F.concat(F.lit("-"), F.col("b"), F.lit("@"), filled("end_token", "b"))).otherwise(""))
+    file, separator = (F.regexp_extract("raw", code_reference(True), k) for k in (1, 2))
+    written = F.concat(file, separator, F.col("a"), F.lit("@"), filled("start_token", "a"), F.when(ended, F.concat(F.when(separator == "#L", "-L").otherwise("-"), F.col("b"), F.lit("@"), filled("end_token", "b"))).otherwise(""))
     result = r.select("raw", "path", "status", written.alias("suggested_raw"), F.col("a").alias("suggested_start"), F.col("b").alias("suggested_end"), "confidence")
     ids = refs.select("id", "raw", "path").distinct().alias("i")
     return ids.join(result.alias("r"), (F.col("i.raw") == F.col("r.raw")) & F.col("i.path").eqNullSafe(F.col("r.path"))).select("i.id", "r.raw", "status", "suggested_raw", "suggested_start", "suggested_end", "confidence")

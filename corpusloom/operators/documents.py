@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.paths import resolve, slug
-from corpusloom.functions.text import bigrams_of, directory_key, keyword_tokens, without_urls
+from corpusloom.functions.text import bigrams_of, code_reference, directory_key, keyword_tokens, without_urls
 
 HEADING = r"^(#{1,6})[ \t]+(.+)$"
 
@@ -94,41 +94,87 @@ def provenance(relative: Column, doc_title: Column, collection: Column, content:
     return F.concat(F.lit('<source file="'), relative, F.lit('" title="'), F.coalesce(doc_title, F.lit("")), F.lit('" collection="'), collection, F.lit('" />\n'), content)
 
 
+def without_code(text: Column) -> Column:
+    """The text with fenced blocks and inline code blanked, lines kept: what a rendered page shows as links. An open fence runs to the end."""
+    fence = lambda s: F.ltrim(s).rlike(r"^(```|~~~)")
+    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("lines"))
+
+    def step(acc: Column, s: Column) -> Column:
+        shown = F.when(acc["inside"] | fence(s), "").otherwise(F.regexp_replace(s, "`[^`]*`", ""))
+        return F.struct((acc["inside"] != fence(s)).alias("inside"), F.concat(acc["lines"], F.array(shown)).alias("lines"))
+
+    # only texts with a backtick or tilde are walked through
+    return F.when(text.rlike("[`~]"), F.array_join(F.aggregate(F.split(text, "\n"), start, step)["lines"], "\n")).otherwise(text)
+
+
 def links(docs: DataFrame) -> DataFrame:
-    """(id, line_no, link_type, target_path, target_section, raw): Markdown links, wikilinks, includes and path references.
+    """(id, line_no, link_type, target_path, target_section, raw): Markdown links, wikilinks, read commands, includes, path references and frontmatter sources.
 
-    Web addresses are left out. Paths are kept as written, fragments become slugs. Wikilinks without an extension get '.md'. Equal
-    links of a line count once.
+    Web addresses are left out. Paths are kept as written, without quotes, fragments become slugs. Wikilinks without an extension get '.md';
+    commands, includes and paths in code count with the extension .md only. A frontmatter source stands at line 0. Equal links of a line count once.
     """
-    rows = lines(docs.where(F.col("text").rlike(r"\[|`|\{\{|mem read")))
+    texts = docs.where(F.col("text").rlike(r"\[|`|\{\{|mem read|(?m)^source:"))
+    rows = lines(texts)
     every = lambda regex: F.regexp_extract_all("line", F.lit(f"({regex})"), F.lit(1))
+    form = lambda t, regex, part: F.transform(every(regex), lambda m: F.struct(F.lit(t).alias("t"), m.alias("raw"), F.regexp_extract(m, part, 1).alias("target")))
     tagged = [
-        F.transform(every(r"\[[^\]\[]*\]\([^)\s]+\)"), lambda m: F.struct(F.lit("markdown").alias("t"), m.alias("raw"), F.regexp_extract(m, r"\(([^)]+)\)$", 1).alias("target"))),
-        F.transform(every(r"\[\[[^\]\[]+\]\]"), lambda m: F.struct(F.lit("wikilink").alias("t"), m.alias("raw"), F.regexp_extract(m, r"^\[\[([^\]|]+)", 1).alias("target"))),
-        F.transform(every(r"\{\{[ \t]*include(?:-toc)?[ \t]+[^}\s]+[ \t]*\}\}"), lambda m: F.struct(F.lit("include").alias("t"), m.alias("raw"), F.regexp_extract(m, r"include(?:-toc)?[ \t]+([^}\s]+)", 1).alias("target"))),
-        F.transform(every(r"`[^` ]+\.md(?:#[^` ]*)?`"), lambda m: F.struct(F.lit("path_ref").alias("t"), m.alias("raw"), F.regexp_extract(m, "`([^`]+)`", 1).alias("target"))),
-    ]
-    found = rows.select("id", "line_no", F.explode(F.concat(*tagged)).alias("x")).select("id", "line_no", F.col("x.t").alias("link_type"), "x.raw", F.trim("x.target").alias("target"))
-    found = found.where(~F.lower("target").rlike(r"^(https?|mailto):"))
+        form("markdown", r"\[[^\]\[]*\]\([^)\s]+\)", r"\(([^)]+)\)$"), form("wikilink", r"\[\[[^\]\[]+\]\]", r"^\[\[([^\]|]+)"),
+        form("read_command", r"\bmem[ \t]+read[ \t]+[^\s`]+", r"read[ \t]+([^\s`]+)$"), form("include", r"\{\{[ \t]*include(?:-toc)?[ \t]+[^}\s]+[ \t]*\}\}", r"include(?:-toc)?[ \t]+([^}\s]+)"),
+        form("path_ref", r"`[^` ]+\.md(?:#[^` ]*)?`", "`([^`]+)`"),
+    ]
+    found = rows.select("id", "line_no", F.explode(F.concat(*tagged)).alias("x")).select("id", "line_no", F.col("x.t").alias("link_type"), "x.raw", F.btrim(F.trim("x.target"), F.lit("\"'")).alias("target"))
+    source = F.regexp_extract(frontmatter(F.col("text")), r"(?m)^source:[ \t]*[\"']?(\[\[[^\]\[]+\]\])", 1)
+    front = texts.select("id", F.lit(0).alias("line_no"), F.lit("frontmatter_source").alias("link_type"), source.alias("raw")).where("raw <> ''").withColumn("target", F.trim(F.regexp_extract("raw", r"^\[\[([^\]|]+)", 1)))
+    found = found.unionByName(front).where(~F.lower("target").rlike(r"^(https?|mailto):"))
     path, fragment = F.trim(F.substring_index("target", "#", 1)), F.when(F.col("target").contains("#"), F.regexp_replace("target", "^[^#]*#", ""))
-    path = F.when((F.col("link_type") == "wikilink") & ~path.rlike(r"\.[A-Za-z0-9]+$"), F.concat(path, F.lit(".md"))).otherwise(path)
-    return found.select("id", "line_no", "link_type", path.alias("target_path"), F.coalesce(slug(fragment), F.lit("")).alias("target_section"), "raw").distinct()
+    named = F.col("link_type").isin("wikilink", "frontmatter_source") & ~path.rlike(r"\.[A-Za-z0-9]+$")
+    local = ~F.col("link_type").isin("read_command", "include", "path_ref") | F.lower(path).endswith(".md")
+    return found.where(local).select("id", "line_no", "link_type", F.when(named, F.concat(path, F.lit(".md"))).otherwise(path).alias("target_path"), F.coalesce(slug(fragment), F.lit("")).alias("target_section"), "raw").distinct()
+
+
+# fixed values: folders below which a target is read from the root of its collection, and folders that mark such a root in a path
+ROOT_FOLDERS = ("docs", "memory", "repos", "logs")
 
 
 def resolved(links_df: DataFrame, source: str = "source_path") -> DataFrame:
-    """links with target_path made absolute: from the root for '/', else from the folder of the source."""
+    """links with target_path made absolute: from the root for '/', from the collection's root if it names one of its root folders, else from the folder of the source.
+
+    The collection's root is what stands before the first of the root folders in the path of the source. An empty target is the source itself.
+    """
+    names = "|".join(ROOT_FOLDERS)
     folder = F.regexp_replace(F.col(source), "/[^/]*$", "")
-    return links_df.withColumn("target_path", resolve(F.when(F.col("target_path").startswith("/"), F.col("target_path")).when(F.col("target_path") == "", F.col(source)).otherwise(F.concat(folder, F.lit("/"), "target_path"))))
+    rooted = F.regexp_replace(F.translate("target_path", "\\", "/"), r"^(?:\.{0,2}/)+", "")
+    root = F.regexp_extract(F.col(source), f"^(.*?)(?:^|/)(?:{names})/", 1)
+    marked = F.col(source).rlike(f"(?:^|/)(?:{names})/")
+    target = (
+        F.when(F.col("target_path") == "", F.col(source)).when(F.col("target_path").startswith("/"), F.col("target_path"))
+        .when(marked & rooted.rlike(f"^({names})/"), F.concat(root, F.lit("/"), rooted)).otherwise(F.concat(folder, F.lit("/"), "target_path"))
+    )
+    return links_df.withColumn("target_path", resolve(target))
+
+
+def located(refs: DataFrame, roots: DataFrame, files: DataFrame) -> DataFrame:
+    """refs (id, source_path, path) with resolved: the first place where the path exists, in the folder of the source, then below each root by name.
+
+    roots: (root), a short list; files: (path). An absolute path is looked up as it is; null where nothing exists. Places are joined once each.
+    """
+    r = refs.select("id", "source_path", "path").distinct()
+    folder = F.regexp_replace("source_path", "/[^/]*$", "")
+    own = r.select("id", "source_path", "path", F.when(F.col("path").startswith("/"), F.col("path")).otherwise(F.concat(folder, F.lit("/"), "path")).alias("at"), F.lit("").alias("place"))
+    below = r.where("not path like '/%'").join(F.broadcast(roots.select("root").distinct()), F.lit(True)).select("id", "source_path", "path", F.concat("root", F.lit("/"), "path").alias("at"), F.col("root").alias("place"))
+    tried = own.unionByName(below).withColumn("at", resolve(F.col("at")))
+    there = files.select(resolve(F.col("path")).alias("at")).distinct()
+    best = tried.join(there, "at").groupBy("id", "source_path", "path").agg(F.min_by("at", "place").alias("resolved"))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("id", "source_path", "path")]
+    return r.alias("r").join(best.alias("b"), same, "left").select("r.*", "b.resolved")
 
 
 def code_refs(docs: DataFrame) -> DataFrame:
-    """(id, line_no, raw, path, start, start_token, end, end_token): references like a.go:12@abc-20@xyz outside Markdown targets."""
-    form = r"[A-Za-z0-9_./~\-]+\.[A-Za-z0-9_+\-]+:\d+(?:@[A-Za-z0-9]{2,8})?(?:-\d+(?:@[A-Za-z0-9]{2,8})?)?"
-    rows = lines(docs.where(F.col("text").rlike(r"\.[A-Za-z0-9_+\-]+:\d"))).select("id", "line_no", F.explode(F.regexp_extract_all("line", F.lit(f"({form})"), F.lit(1))).alias("raw"))
-    part = lambda regex, k: F.regexp_extract("raw", regex, k)
-    one = r"^(.+):(\d+)(?:@([A-Za-z0-9]+))?(?:-(\d+)(?:@([A-Za-z0-9]+))?)?$"
-    number = lambda k: F.nullif(part(one, k), F.lit("")).try_cast("int")
-    return rows.select("id", "line_no", "raw", part(one, 1).alias("path"), number(2).alias("start"), part(one, 3).alias("start_token"), number(4).alias("end"), part(one, 5).alias("end_token")).where("start >= 1 and (end is null or end >= start)")
+    """(id, line_no, raw, path, start, start_token, end, end_token): references like a.go:12@abc-20@xyz or a.go#L12-L20, from the left without overlaps."""
+    rows = lines(docs.where(F.col("text").rlike(r"\.[A-Za-z0-9_+\-]+(:|#L)\d"))).select("id", "line_no", F.explode(F.regexp_extract_all("line", F.lit(f"({code_reference()})"), F.lit(1))).alias("raw"))
+    part = lambda k: F.regexp_extract("raw", code_reference(True), k)
+    number = lambda k: F.nullif(part(k), F.lit("")).try_cast("int")
+    return rows.select("id", "line_no", "raw", part(1).alias("path"), number(3).alias("start"), part(4).alias("start_token"), number(5).alias("end"), part(6).alias("end_token")).where("start >= 1 and (end is null or end >= start)")
 
 
 def keyword_scores(docs: DataFrame, depth: int = 2) -> DataFrame:

@@ -232,7 +232,7 @@ def latency_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return C.latency_metrics(table(spark, folder, "events"), ["event_type"], "value")
 
 
-LATENCY_SQL = "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type"
+LATENCY_SQL = "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, list(value ORDER BY value)[floor((count(*) - 1) * 0.5)::INTEGER + 1] AS low50, list(value ORDER BY value)[floor((count(*) - 1) * 0.95)::INTEGER + 1] AS low95 FROM events WHERE value IS NOT NULL GROUP BY event_type"
 
 
 def weekly_usage(spark: SparkSession, folder: str) -> DataFrame:

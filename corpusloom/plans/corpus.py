@@ -103,12 +103,14 @@ LINKS_SQL = f"""
 WITH {_LINES},
 f AS (SELECT id, line_no, 'markdown' AS link_type, unnest(regexp_extract_all(line, '\\[[^\\]\\[]*\\]\\([^)\\s]+\\)')) AS raw FROM li
  UNION ALL SELECT id, line_no, 'wikilink', unnest(regexp_extract_all(line, '\\[\\[[^\\]\\[]+\\]\\]')) FROM li
+ UNION ALL SELECT id, line_no, 'read_command', unnest(regexp_extract_all(line, '\\bmem[ \\t]+read[ \\t]+[^\\s`]+')) FROM li
  UNION ALL SELECT id, line_no, 'include', unnest(regexp_extract_all(line, '\\{{\\{{[ \\t]*include(?:-toc)?[ \\t]+[^}}\\s]+[ \\t]*\\}}\\}}')) FROM li
- UNION ALL SELECT id, line_no, 'path_ref', unnest(regexp_extract_all(line, '`[^` ]+\\.md(?:#[^` ]*)?`')) FROM li),
-t AS (SELECT *, trim(CASE link_type WHEN 'markdown' THEN regexp_extract(raw, '\\(([^)]+)\\)$', 1) WHEN 'wikilink' THEN regexp_extract(raw, '^\\[\\[([^\\]|]+)', 1) WHEN 'include' THEN regexp_extract(raw, 'include(?:-toc)?[ \\t]+([^}}\\s]+)', 1) ELSE regexp_extract(raw, '`([^`]+)`', 1) END, ' ') AS target FROM f),
+ UNION ALL SELECT id, line_no, 'path_ref', unnest(regexp_extract_all(line, '`[^` ]+\\.md(?:#[^` ]*)?`')) FROM li
+ UNION ALL SELECT doc_id, 0, 'frontmatter_source', regexp_extract({_FM}, '(?m)^source:[ \\t]*["'']?(\\[\\[[^\\]\\[]+\\]\\])', 1) FROM documents),
+t AS (SELECT *, trim(trim(CASE WHEN link_type = 'markdown' THEN regexp_extract(raw, '\\(([^)]+)\\)$', 1) WHEN link_type IN ('wikilink', 'frontmatter_source') THEN regexp_extract(raw, '^\\[\\[([^\\]|]+)', 1) WHEN link_type = 'read_command' THEN regexp_extract(raw, 'read[ \\t]+([^\\s`]+)$', 1) WHEN link_type = 'include' THEN regexp_extract(raw, 'include(?:-toc)?[ \\t]+([^}}\\s]+)', 1) ELSE regexp_extract(raw, '`([^`]+)`', 1) END, ' '), chr(34) || chr(39)) AS target FROM f WHERE raw <> ''),
 p AS (SELECT *, trim(split_part(target, '#', 1), ' ') AS path FROM t WHERE NOT regexp_matches(lower(target), '^(https?|mailto):'))
-SELECT DISTINCT id, line_no::INTEGER AS line_no, link_type, CASE WHEN link_type = 'wikilink' AND NOT regexp_matches(path, '\\.[A-Za-z0-9]+$') THEN path || '.md' ELSE path END AS target_path,
- CASE WHEN contains(target, '#') THEN {_SLUG("regexp_replace(target, '^[^#]*#', '')")} ELSE '' END AS target_section, raw FROM p
+SELECT DISTINCT id, line_no::INTEGER AS line_no, link_type, CASE WHEN link_type IN ('wikilink', 'frontmatter_source') AND NOT regexp_matches(path, '\\.[A-Za-z0-9]+$') THEN path || '.md' ELSE path END AS target_path,
+ CASE WHEN contains(target, '#') THEN {_SLUG("regexp_replace(target, '^[^#]*#', '')")} ELSE '' END AS target_section, raw FROM p WHERE link_type NOT IN ('read_command', 'include', 'path_ref') OR ends_with(lower(path), '.md')
 """
 
 
@@ -118,9 +120,8 @@ def parsed_code_refs(spark: SparkSession, folder: str) -> DataFrame:
     return D.code_refs(refs).drop("line_no").distinct()
 
 
-_REF = r"[A-Za-z0-9_./~\-]+\.[A-Za-z0-9_+\-]+:\d+(?:@[A-Za-z0-9]{2,8})?(?:-\d+(?:@[A-Za-z0-9]{2,8})?)?"
-_ONE = r"^(.+):(\d+)(?:@([A-Za-z0-9]+))?(?:-(\d+)(?:@([A-Za-z0-9]+))?)?$"
-_REFS_TAIL = f"""SELECT *, regexp_extract(raw, '{_ONE}', 1) AS path, try_cast(nullif(regexp_extract(raw, '{_ONE}', 2), '') AS INTEGER) AS "start", regexp_extract(raw, '{_ONE}', 3) AS start_token, try_cast(nullif(regexp_extract(raw, '{_ONE}', 4), '') AS INTEGER) AS "end", regexp_extract(raw, '{_ONE}', 5) AS end_token FROM f"""
+_REF, _ONE = T.code_reference(), T.code_reference(True)
+_REFS_TAIL = f"""SELECT *, regexp_extract(raw, '{_ONE}', 1) AS path, try_cast(nullif(regexp_extract(raw, '{_ONE}', 3), '') AS INTEGER) AS "start", regexp_extract(raw, '{_ONE}', 4) AS start_token, try_cast(nullif(regexp_extract(raw, '{_ONE}', 5), '') AS INTEGER) AS "end", regexp_extract(raw, '{_ONE}', 6) AS end_token FROM f"""
 PARSED_SQL = f"WITH f AS (SELECT id, unnest(regexp_extract_all(raw, '{_REF}')) AS raw FROM ref_results), x AS ({_REFS_TAIL}) SELECT DISTINCT * FROM x WHERE \"start\" >= 1 AND (\"end\" IS NULL OR \"end\" >= \"start\")"
 
 

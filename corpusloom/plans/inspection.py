@@ -54,8 +54,9 @@ def stale_hashes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _refs_and_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    refs = table(spark, folder, "ref_results").where("kind = 'code_ref' and raw is not null and resolved_path is not null").select("id", F.col("raw").alias("text"), "resolved_path").distinct()
-    parsed = D.code_refs(refs.select("id", "text")).drop("path").join(refs.select("id", F.col("resolved_path").alias("path")), "id")
+    refs = table(spark, folder, "ref_results").where("kind = 'code_ref' and raw is not null").select("id", F.col("raw").alias("text"), "resolved_path").distinct()
+    parsed = D.code_refs(refs.select("id", "text")).withColumnRenamed("path", "written").join(refs.select("id", F.col("resolved_path").alias("path")), "id")
+    parsed = parsed.withColumn("path", F.coalesce("path", "written")).drop("written")  # unresolved: the path as written, which no file has
     files = latest_files(spark, folder).select("file_id", "path")
     wanted = files.join(parsed.select("path").distinct(), "path", "left_semi")
     chunks = distinct_chunks(spark, folder).where("content is not null").join(wanted, "file_id")

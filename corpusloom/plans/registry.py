@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import catalog, corpus, evaluation, folders, inspection, integrity, maintenance, outline, search
+from corpusloom.plans import catalog, corpus, evaluation, folders, inspection, integrity, maintenance, outline, search, upkeep
 
-MODULES = (search, corpus, catalog, evaluation, inspection, outline, folders, maintenance, integrity)
+MODULES = (search, corpus, catalog, evaluation, inspection, outline, folders, maintenance, upkeep, integrity)
 FLAGSHIP = "hybrid_search"
 
 

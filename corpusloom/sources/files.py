@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tomllib
 from collections.abc import Iterator
 
@@ -38,6 +39,11 @@ def ignore_patterns(spark: SparkSession, path: str) -> list[str]:
     return [r[0].strip() for r in spark.read.text(path).where("trim(value) <> '' and not ltrim(value) like '#%'").collect()]
 
 
+def signal_paths(root: str, configured: list[str]) -> list[str]:
+    """Paths of read-signal exports as configured: '~' is the home folder, others that are not absolute start at the collection's root. Globs stay for Spark."""
+    return sorted({os.path.normpath(os.path.join(root, os.path.expanduser(p))) for p in configured if p.strip()})
+
+
 def read_signals(spark: SparkSession, paths: list[str], today: str, max_age_days: int = 14) -> DataFrame:
     """Reads per document from tab-separated exports: counts add up over exports, rows last read too long ago are left out.
 
@@ -85,6 +91,12 @@ def write_log(entries: DataFrame, folder: str, time: str = "ts") -> None:
     entries.withColumn("week", F.date_format(F.date_trunc("week", time), "yyyy-MM-dd")).write.mode("append").partitionBy("week").json(folder)
 
 
+def retained_log(spark: SparkSession, folder: str, schema: str, today: str, weeks: int) -> DataFrame:
+    """Entries of this week and the `weeks` before it: what is kept when older weeks are dropped; older folders are not read."""
+    first = F.date_format(F.date_sub(F.date_trunc("week", F.lit(today).cast("date")).cast("date"), 7 * weeks), "yyyy-MM-dd")
+    return spark.read.schema(f"{schema}, week string").json(folder).where(F.col("week") >= first)
+
+
 def recent_log(spark: SparkSession, folder: str, schema: str, n: int, since_week: str = "0000-00-00") -> DataFrame:
     """The n newest entries; weeks before `since_week` are not read."""
     return spark.read.schema(f"{schema}, week string").json(folder).where(F.col("week") >= since_week).orderBy(F.desc("week"), F.desc("ts")).limit(n)
