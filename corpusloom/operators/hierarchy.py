@@ -143,14 +143,18 @@ def euler_tours(tree: DataFrame) -> DataFrame:
     down = nodes.select(arc("<", "node").alias("arc"), F.coalesce(arc("<", "first"), arc(">", "node")).alias("to"))
     up = nodes.select(arc(">", "node").alias("arc"), F.coalesce(arc("<", "next"), arc(">", "parent")).alias("to"))
     sign = F.when(F.col("to").startswith("<"), 1).otherwise(-1)
-    rank = cut(down.unionByName(up).select("arc", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.when(F.col("to").isNull(), 0).otherwise(sign).cast("long").alias("rise")))
-    open_arcs = rank.where("to is not null").count()
-    while open_arcs:
-        nxt = rank.select(F.col("arc").alias("to"), F.col("to").alias("to2"), F.col("steps").alias("steps2"), F.col("rise").alias("rise2"))
-        # an arc whose target has no successor keeps that target as its last arc, with nothing to add
-        rank = cut(rank.join(nxt, "to", "left").select("arc", F.coalesce("to2", "to").alias("to"), (F.col("steps") + F.coalesce("steps2", F.lit(0))).alias("steps"), (F.col("rise") + F.coalesce("rise2", F.lit(0))).alias("rise"), F.col("to2").isNotNull().alias("moved")))
-        open_arcs = rank.where("moved").count()
-    last = F.coalesce("to", "arc")
+    arcs = cut(down.unionByName(up).select("arc", "to", F.when(F.col("to").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.when(F.col("to").isNull(), 0).otherwise(sign).cast("long").alias("rise")))
+    columns = ["arc", "last", "steps", "rise"]
+    done = arcs.where("to is null").withColumn("last", F.col("arc")).select(columns)
+    open_arcs = arcs.where("to is not null")
+    # the targets of open arcs all differ, and arcs that have reached their end leave, so no key gathers a tree
+    while not open_arcs.isEmpty():
+        ahead = open_arcs.select(F.col("arc").alias("to"), F.col("to").alias("to2"), F.lit(None).cast("string").alias("last"), F.col("steps").alias("steps2"), F.col("rise").alias("rise2"))
+        ahead = ahead.unionByName(done.select(F.col("arc").alias("to"), F.lit(None).cast("string").alias("to2"), "last", F.col("steps").alias("steps2"), F.col("rise").alias("rise2")))
+        moved = cut(open_arcs.join(ahead, "to").select("arc", "to2", "last", (F.col("steps") + F.col("steps2")).alias("steps"), (F.col("rise") + F.col("rise2")).alias("rise")))
+        done = done.unionByName(moved.where("last is not null").select(columns))
+        open_arcs = moved.where("last is null").select("arc", F.col("to2").alias("to"), "steps", "rise")
+    rank, last = done, F.col("last")
     ranked = rank.select(F.substring("arc", 2, 1 << 30).alias("node"), F.col("arc").startswith("<").alias("is_down"), F.substring(last, 2, 1 << 30).alias("root"), "steps", "rise")
     both = ranked.groupBy("node", "root").agg(F.max(F.when(F.col("is_down"), F.col("steps"))).alias("from_entry"), F.max(F.when(~F.col("is_down"), F.col("steps"))).alias("from_exit"), F.max(F.when(F.col("is_down"), -F.col("rise") - 1)).alias("depth"))
     length = both.where("node = root").select("root", F.col("from_entry").alias("length"))
@@ -158,30 +162,70 @@ def euler_tours(tree: DataFrame) -> DataFrame:
 
 
 def tree_paths(tree: DataFrame, separator: str = " > ") -> DataFrame:
-    """(node, path) from the root down for a forest (parent, node); roots are not listed. Strings and pointers double."""
-    state = cut(tree.select("node", F.col("parent").alias("up"), F.concat("parent", F.lit(separator), "node").alias("path"), F.lit(True).alias("open")))
-    while not state.where("open").isEmpty():
-        above = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"))
+    """(node, path) from the root down for a forest (parent, node); roots are not listed. Strings and pointers double.
+
+    A row knows whether its pointer is at a root and then leaves the joins, so the root of a large tree is no hot key.
+    """
+    inner = tree.select(F.col("node").alias("parent"), F.lit(True).alias("inner")).distinct()
+    state = cut(tree.join(inner, "parent", "left").select("node", F.col("parent").alias("up"), F.concat("parent", F.lit(separator), "node").alias("path"), F.coalesce("inner", F.lit(False)).alias("open")))
+    done = state.where("not open").select("node", "path")
+    todo = state.where("open")
+    while not todo.isEmpty():
+        above = todo.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("open").alias("open2"))
+        above = above.unionByName(done.select(F.col("node").alias("up"), F.lit(None).cast("string").alias("up2"), F.col("path").alias("path2"), F.lit(False).alias("open2")))
         tail = F.substring(F.col("path"), F.length("up") + 1, F.lit(1 << 30))
-        state = cut(state.join(above, "up", "left").select("node", F.coalesce("up2", "up").alias("up"), F.when(F.col("up2").isNull(), F.col("path")).otherwise(F.concat("path2", tail)).alias("path"), F.col("up2").isNotNull().alias("open")))
-    return state.select("node", "path")
+        moved = cut(todo.join(above, "up").select("node", F.col("up2").alias("up"), F.concat("path2", tail).alias("path"), F.col("open2").alias("open")))
+        done = done.unionByName(moved.where("not open").select("node", "path"))
+        todo = moved.where("open")
+    return done
+
+
+def further_descendants(tree: DataFrame, extra: DataFrame) -> DataFrame:
+    """(node, top): nodes `top` from which a node reaches further subtrees over the edges (parent, child) that are not in the tree (parent, node).
+
+    Every node above or at the parent of such an edge reaches its child, and from there what the child's subtree reaches; pairs close by doubling.
+    They are few: a pair for each of the extra edges and node above it.
+    """
+    _, tables = peel(tree.select("parent", F.col("node").alias("child")))
+    above = cut(extra.select(F.col("parent").alias("node"), "parent").distinct())
+    for jump in reversed(tables):
+        above = cut(above.unionByName(jump.join(above, "node").select(F.col("up").alias("node"), "parent")).distinct())
+    pairs, n = cut(above.join(extra, "parent").select("node", F.col("child").alias("top")).distinct()), -1
+    while n != (n := pairs.count()):
+        pairs = cut(pairs.unionByName(pairs.join(pairs.select(F.col("node").alias("top"), F.col("top").alias("beyond")), "top").select("node", F.col("beyond").alias("top"))).distinct())
+    return pairs
+
+
+def _counted(tours: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, reached): how many different nodes each node of the pairs reaches, itself left out. Subtrees nest or are apart, so the largest ones add up."""
+    place = lambda name: tours.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"), F.col("entry").alias(f"{name}_entry"), F.col("exit").alias(f"{name}_exit"))
+    sets = pairs.select("node", "top").unionByName(pairs.select("node", F.col("node").alias("top"))).distinct()
+    placed = sets.join(place("top"), "top", "left").select("node", "top", F.coalesce("top_root", "top").alias("root"), F.coalesce("top_entry", F.lit(0)).alias("entry"), F.coalesce("top_exit", F.lit(1)).alias("exit"))
+    # within a tree an interval counts unless one that began before it ends after it
+    w = Window.partitionBy("node", "root").orderBy("entry").rowsBetween(Window.unboundedPreceding, -1)
+    outer = placed.withColumn("covered", F.coalesce(F.max("exit").over(w) > F.col("exit"), F.lit(False))).where("not covered")
+    return outer.groupBy("node").agg((F.sum((F.col("exit") - F.col("entry") + 1) / 2) - 1).cast("long").alias("reached"))
 
 
 def hierarchy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Every node with its place: (node, parent, root, depth, entry, exit, n_descendants, path, in_cycle, n_parents).
+    """Every node with its place: (node, parent, root, depth, entry, exit, n_descendants, path, in_cycle, n_parents, further_tops).
 
     nodes: (node); edges: (parent, child). A node on a cycle has in_cycle and no place. A child of a cycle node starts a tree
-    of its own. Of several parents the smallest key is the parent in the tree; n_parents tells their number. The
-    descendants of a node are the nodes of its root whose entry lies between its entry and exit. Nodes without
-    edges are trees of one. Repeated rows count once; empty input gives no rows.
+    of its own. Of several parents the smallest key is the parent in the tree; n_parents tells their number. n_descendants counts all
+    nodes that are reached over any parent, itself left out, of cycle nodes too; those in the tree are the nodes of its root whose entry lies between its
+    entry and exit, further_tops are the other nodes whose subtrees it reaches. Nodes without edges are trees of one. Repeated rows count once;
+    empty input gives no rows.
     """
     edges = cut(edges.where("parent is not null and child is not null").select("parent", "child").distinct())
     loops = cut(cycle_nodes(edges).select("node"))
     tree = edges.join(loops.select(F.col("node").alias("child")), "child", "left_anti").join(loops.select(F.col("node").alias("parent")), "parent", "left_anti")
     tree = cut(tree.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("parent")))
-    tours, paths = euler_tours(tree), tree_paths(tree)
+    tours, paths = cut(euler_tours(tree)), tree_paths(tree)
+    extra = cut(edges.join(tree.select("parent", F.col("node").alias("child")), ["parent", "child"], "left_anti"))
+    pairs = further_descendants(tree, extra)
+    further = _counted(tours, pairs).join(pairs.where("node <> top").groupBy("node").agg(F.array_sort(F.collect_list("top")).alias("further_tops")), "node", "left")
     n_parents = edges.groupBy(F.col("child").alias("node")).agg(F.count("*").alias("n_parents"))
-    out = nodes.select("node").where("node is not null").distinct().join(tree, "node", "left").join(tours, "node", "left").join(paths, "node", "left").join(n_parents, "node", "left").join(loops.withColumn("in_cycle", F.lit(True)), "node", "left")
+    out = nodes.select("node").where("node is not null").distinct().join(further, "node", "left").join(tree, "node", "left").join(tours, "node", "left").join(paths, "node", "left").join(n_parents, "node", "left").join(loops.withColumn("in_cycle", F.lit(True)), "node", "left")
     free = F.col("in_cycle").isNull()
     alone = free & F.col("root").isNull()
     return out.select(
@@ -191,8 +235,9 @@ def hierarchy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         F.when(alone, 0).otherwise(F.col("depth")).alias("depth"),
         F.when(alone, 0).otherwise(F.col("entry")).alias("entry"),
         F.when(alone, 1).otherwise(F.col("exit")).alias("exit"),
-        F.when(alone, 0).otherwise(((F.col("exit") - F.col("entry") - 1) / 2).cast("long")).alias("n_descendants"),
+        F.coalesce("reached", F.when(alone, 0).otherwise(((F.col("exit") - F.col("entry") - 1) / 2).cast("long"))).alias("n_descendants"),
         F.when(free, F.coalesce("path", "node")).alias("path"),
         (~free).alias("in_cycle"),
         F.coalesce("n_parents", F.lit(0)).cast("int").alias("n_parents"),
+        F.coalesce("further_tops", F.array().cast("array<string>")).alias("further_tops"),
     )

@@ -68,6 +68,27 @@ def test_intervals_are_the_descendants(spark, monkeypatch):
         assert inside == set(chain)
 
 
+def test_descendants_over_every_parent_and_cycle(spark):
+    rng = random.Random(8)
+    for n, m in ((14, 18), (40, 44)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        nodes = spark.createDataFrame([(str(v),) for v in range(n)], "node string")
+        rows = {int(r["node"]): r for r in H.hierarchy(nodes, frame(spark, edges)).collect()}
+        out = defaultdict(set)
+        for a, b in edges:
+            out[a].add(b)
+        for v in range(n):
+            todo, seen = list(out[v]), set()
+            while todo:
+                w = todo.pop()
+                if w not in seen:
+                    seen.add(w)
+                    todo.extend(out.get(w, ()))
+            assert rows[v]["n_descendants"] == len(seen - {v}), (v, rows[v])
+            below = lambda x: {w for w, r in rows.items() if x == w or (r["root"] == rows[x]["root"] and r["root"] and rows[x]["entry"] < r["entry"] and r["exit"] < rows[x]["exit"])}
+            assert seen - {v} == set().union(*[below(int(t)) for t in rows[v]["further_tops"]], below(v) if not rows[v]["in_cycle"] else set()) - {v}
+
+
 def test_empty_and_null_rows(spark):
     none = spark.createDataFrame([(None, "a"), ("b", None)], "parent string, child string")
     assert H.cycle_nodes(none).count() == 0
