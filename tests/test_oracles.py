@@ -5,7 +5,7 @@ import pytest
 from corpusloom.plans import registry
 from tests.oracle import connect, spark_rows, sql_rows
 
-MAY_BE_EMPTY = {"rerank_selection", "one_hop", "ungrounded_purposes", "renamed_files"}
+MAY_BE_EMPTY = {"retrieval_metrics", "run_comparison", "rerank_selection", "one_hop", "ungrounded_purposes", "renamed_files"}
 
 
 @pytest.fixture(scope="module")
