@@ -25,7 +25,7 @@ from corpusloom.llm.shingles import mix, shingle_sets
 from corpusloom.runtime import cut, let_workers_import
 
 PARTS = 16
-CELLS = 1 << 17  # hashed counts of symbols, and of signatures; what the driver and a broadcast hold of them is fixed by it
+CELLS = 1 << 15  # hashed counts of symbols, and of signatures; what the driver and a broadcast hold of them is fixed by it
 SKIP = 1  # further symbols to be covered for each partition skipped
 SAMPLE = 4096  # texts from which the correlation of symbols is measured
 _SEEDS = mix(np.arange(1, 2 * PARTS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)

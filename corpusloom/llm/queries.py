@@ -21,6 +21,15 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.all_pairs(*_near_chunks(spark, folder)).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
+P1_FOUND_SQL = f"""
+WITH c AS (SELECT DISTINCT id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM chunks WHERE id IS NOT NULL AND content IS NOT NULL),
+t AS (SELECT DISTINCT id, list_slice(w, i, i + {SECTION_WORDS - 1}) AS g FROM (SELECT id, w, unnest(range(1, len(w) - {SECTION_WORDS - 2})) AS i FROM c)),
+n AS (SELECT id, count(*) AS n FROM t GROUP BY id HAVING count(*) >= {SECTION_LEAST}),
+k AS (SELECT a.id AS a, b.id AS b, count(*) AS m FROM t a JOIN t b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+SELECT a AS chunk_id_a, b AS chunk_id_b FROM k JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE m >= {SECTION_SIMILARITY} * (x.n + y.n - m) - 1e-9
+"""
+
+
 def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
     """One row per chunk that is long enough to compare: its class and its number of links."""
     return neardup.classes(*_near_chunks(spark, folder)).withColumnRenamed("id", "chunk_id")
@@ -111,4 +120,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p4_found": p4_found, "p4_topk": p4_topk, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_pack": p6_pack, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored}
-SQL: dict[str, str] = {"p5_found": P5_FOUND_SQL}
+SQL: dict[str, str] = {"p1_found": P1_FOUND_SQL, "p5_found": P5_FOUND_SQL}
