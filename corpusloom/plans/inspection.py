@@ -82,6 +82,15 @@ def rewritten_refs(spark: SparkSession, folder: str) -> DataFrame:
     return R.rewrite(refs.select("id", "text").distinct(), R.validate(parsed, lines))
 
 
+def stamped_locations(spark: SparkSession, folder: str) -> DataFrame:
+    """Where every chunk begins, written as a code reference and stamped with the token of that line."""
+    files = latest_files(spark, folder).select("file_id", "path")
+    chunks = distinct_chunks(spark, folder).where("content is not null and start_line >= 1").select("id", "file_id", "start_line", "content").join(files, "file_id")
+    refs = chunks.select("id", F.concat("path", F.lit(":"), "start_line").alias("text"))
+    lines = chunks.select("path", "start_line", F.posexplode(F.split("content", "\n")).alias("k", "line")).select("path", (F.col("start_line") + F.col("k")).alias("line_no"), "line").distinct()
+    return R.rewrite(refs, R.validate(D.code_refs(refs), lines))
+
+
 def churn_by_source(spark: SparkSession, folder: str) -> DataFrame:
     """Per source of documents the share that changed, and whether its folder summary is out of date."""
     d = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.coalesce(F.lower(F.trim("source")), F.lit("?")).alias("source"))
@@ -94,5 +103,5 @@ x AS (SELECT source, id % 7 = 0 OR id % 11 = 0 OR (id % 3 = 0 AND (id % 5 = 0 OR
 SELECT source, count(*) AS n, round(avg(moved::INTEGER), 6) AS churn, avg(moved::INTEGER) >= 0.2 AS is_stale FROM x GROUP BY source
 """
 
-QUERIES = {"authority_scores": authority_scores, "best_lines": best_lines, "filtered_folders": filtered_folders, "stale_hashes": stale_hashes, "checked_code_refs": checked_code_refs, "validated_code_refs": validated_code_refs, "rewritten_refs": rewritten_refs, "churn_by_source": churn_by_source}
+QUERIES = {"authority_scores": authority_scores, "best_lines": best_lines, "filtered_folders": filtered_folders, "stale_hashes": stale_hashes, "checked_code_refs": checked_code_refs, "validated_code_refs": validated_code_refs, "rewritten_refs": rewritten_refs, "stamped_locations": stamped_locations, "churn_by_source": churn_by_source}
 SQL = {"authority_scores": AUTHORITY_SQL, "best_lines": BEST_SQL, "filtered_folders": FOLDER_SQL, "churn_by_source": CHURN_SQL}

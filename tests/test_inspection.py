@@ -4,6 +4,7 @@ import re
 
 import xxhash
 
+from corpusloom.plans.inspection import stamped_locations
 from corpusloom.functions.hashing import line_token
 from corpusloom.operators import inspection as I
 from corpusloom.plans.inspection import checked_code_refs, stale_hashes
@@ -34,3 +35,11 @@ def test_statuses(spark):
 
 def test_query(spark, data):
     assert checked_code_refs(spark, data).columns == ["id", "raw", "status", "at"]
+
+
+def test_chunk_locations_are_stamped(spark, data):
+    first = {r["id"]: r["content"].split("\n")[0] for r in table(spark, data, "chunks").where("content is not null").collect()}
+    rows = stamped_locations(spark, data).collect()
+    right = sum(r["text"].rsplit("@", 1)[1] == line_token(first[r["id"]]) for r in rows)
+    assert len(rows) > 100 and all(r["n_changed"] == 1 for r in rows)
+    assert right >= 0.95 * len(rows)  # chunks of a file may claim the same line
