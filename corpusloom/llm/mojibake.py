@@ -124,13 +124,13 @@ class Letters:
         return total[ends] - total[starts]
 
     def plausible(self, readings: dict[str, list[Reading]], least: float) -> dict[str, list[Reading]]:
-        """The readings all of whose bigrams have at least this log probability; only words that have some."""
+        """The readings all of whose bigrams have at least this log probability, and those of UTF-8, which chance hardly forms; only words that have some."""
         flat = [(w, name, r) for w, options in readings.items() for name, r in options]
         out: dict = {}
         if flat:
             key, starts, _ = _pairs([r for _, _, r in flat])
             for (w, name, r), worst in zip(flat, np.minimum.reduceat(self.each(key), starts)):
-                if worst >= least:
+                if worst >= least or "<utf8" in name[0]:
                     out.setdefault(w, []).append((name, r))
         return out
 
@@ -385,6 +385,11 @@ def _own(lang: str) -> re.Pattern:
     return re.compile(f"{one(ALPHABETS.get(lang, ''), chr(0) + '-' + chr(127))}|{one(ALPHABETS['ru'], chr(0) + '-@')}")
 
 
+@lru_cache(maxsize=1 << 17)
+def is_own(lang: str, word: str) -> bool:
+    return bool(_own(lang).fullmatch(word))
+
+
 def vocabulary(texts: DataFrame) -> DataFrame:
     """(source, lang, word, n): all words that are not plain ASCII with their number of uses in documents of a language."""
 
@@ -415,7 +420,7 @@ def start(keys: np.ndarray, counts: np.ndarray, table: DataFrame) -> Model:
         sums: dict = defaultdict(float)
         for pdf in batches:
             for lang, w, n in zip(pdf["lang"], pdf["word"], pdf["n"]):
-                if not _own(lang).fullmatch(w):
+                if not is_own(lang, w):
                     x = encode(" " + w + " ").astype(np.int64)
                     for key in (x[:-1] * _WIDTH + x[1:]).tolist():
                         sums[key] += n
@@ -497,19 +502,20 @@ def _forward_backward(letters: Letters, words: list[str], ns: list[int], lang: s
 def suspects(spark, table: DataFrame, model: Model) -> DataFrame:
     """Rows of the vocabulary that may be garbled, with `unread`: words of foreign letters that no known pair of pages reads plausibly.
 
-    A word stays if a reading fits better by the first bigrams, if it holds letters foreign to its language, or a lost character. The
+    A word that only holds letters of its language, capitals in front, is settled: it is no evidence, whatever it could be turned into. Of the
+    others one stays if a reading fits better by the first bigrams, if it holds foreign letters, or a lost character. The
     first bigrams know no garbled words, so what fits none better is settled for all rounds.
     """
     shared = spark.sparkContext.broadcast(model)
-    own = lambda lang, w: _own(lang).fullmatch(w) or _own(lang).fullmatch(w.lower())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             letters = shared.value.letters
+            pdf = pdf[np.array([not is_own(lang, w) for lang, w in zip(pdf["lang"], pdf["word"])], bool)]
             better = candidates(letters, pdf["word"].unique().tolist(), LEAST_GAIN)
             read = letters.plausible(better, PLAUSIBLE)
             lost = np.array([bool(_LOST.search(w)) for w in pdf["word"]], bool)
-            foreign = np.array([bool(ALPHABETS.get(lang)) and not own(lang, w) and not _COMBINED.search(w) for lang, w in zip(pdf["lang"], pdf["word"])], bool)
+            foreign = np.array([bool(ALPHABETS.get(lang)) and not is_own(lang, w.lower()) and not _COMBINED.search(w) for lang, w in zip(pdf["lang"], pdf["word"])], bool)
             unread = foreign & ~lost & np.array([w not in read for w in pdf["word"]], bool)
             yield pdf.assign(unread=unread)[foreign | lost | np.array([w in better for w in pdf["word"]], bool)]
 
@@ -672,15 +678,17 @@ ALONE = 6.0  # further log odds that a document needs whose only evidence is a l
 LEAST_WORDS, LEAST_READ = 4, 0.4  # so many words, and such a share of those with its symbols, a learned table has to read plausibly
 
 
-def judge(model: Model, source: str, lang: str, words: list[str], known: dict) -> tuple[float, dict[str, str], set[str]]:
+def judge(model: Model, source: str, lang: str, words: list[str], odd: list[str], known: dict) -> tuple[float, dict[str, str], set[str]]:
     """(log odds that a text of these words is garbled, word -> restored word, pages); known: (source, word) -> weighed readings.
 
+    Only odd words, those with letters foreign to the language of the text, are evidence; where they tell enough all words are read again.
+
     Words of one pair of pages support each other: its price is paid once for the document, and a little for each word. A learned
     table also has to read most words that hold its symbols.
     """
     sums, n = defaultdict(float), Counter()
     shown = defaultdict(dict)
-    for w in words:
+    for w in odd:
         for names, _, g in known.get((source, w), ()):
             if g > 1:
                 for name in names:
@@ -743,22 +751,23 @@ def restore(docs: DataFrame) -> DataFrame:
         for pdf in batches:
             m = model.value
             cells = [(i, s, t, _split(t)) for i, s, t in zip(pdf["doc_id"], pdf["source"], pdf["text"]) if not t.isascii()]
-            texts = [(i, s, language(t, ws) if m.tables else "", t, [w for w in dict.fromkeys(ws) if not w.isascii()]) for i, s, t, ws in cells]
-            better = candidates(m.letters, list({w for *_, ws in texts for w in ws}), 0.5)
-            freely = learned_readings(m, [(s, lang, w) for _, s, lang, _, ws in texts if (s, lang) in m.tables or ("", lang) in m.tables for w in ws])
+            texts = [(i, s, language(t, ws), t, [w for w in dict.fromkeys(ws) if not w.isascii()]) for i, s, t, ws in cells]
+            odd = [[w for w in ws if not is_own(lang, w)] for _, _, lang, _, ws in texts]
+            better = candidates(m.letters, list({w for ws in odd for w in ws}), 0.5)
+            freely = learned_readings(m, [(s, lang, w) for (_, s, lang, _, _), ws in zip(texts, odd) if (s, lang) in m.tables or ("", lang) in m.tables for w in ws])
             used = defaultdict(set)
-            for _, s, _, _, ws in texts:
+            for (_, s, _, _, _), ws in zip(texts, odd):
                 used[s].update(w for w in ws if w in better or (s, w) in freely)
             known = {}
             for s, ws in used.items():
                 ws = sorted(ws)
                 known.update(zip([(s, w) for w in ws], m.weigh(s, ws, [better.get(w, []) + freely.get((s, w), []) for w in ws])))
             rows = []
-            for i, source, lang, text, ws in texts:
+            for (i, source, lang, text, ws), sus in zip(texts, odd):
                 lost = bool(_LOST.search(text))
-                if not lost and not any((source, w) in known for w in ws):
+                if not lost and not any((source, w) in known for w in sus):
                     continue
-                odds, words, pages = judge(m, source, lang, ws, known)
+                odds, words, pages = judge(m, source, lang, ws, sus, known)
                 odds = 99.0 if lost else odds
                 if odds > FOUND:
                     fixed = re.sub(r"[^ \t\n\r\f\v]+", lambda x: words.get(x[0], x[0]), text) if words else text
