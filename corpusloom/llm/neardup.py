@@ -27,7 +27,7 @@ from corpusloom.runtime import cut, let_workers_import
 PARTS = 16
 CELLS = 1 << 15  # hashed counts of symbols, and of signatures; what the driver and a broadcast hold of them is fixed by it
 SKIP = 1  # further symbols to be covered for each partition skipped
-SAMPLE = 4096  # texts from which the correlation of symbols is measured
+SAMPLE = 4096  # texts, on average, from which the correlation of symbols is measured
 _SEEDS = mix(np.arange(1, 2 * PARTS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
 
@@ -146,7 +146,8 @@ def candidates(reps: DataFrame, least_similarity: float) -> DataFrame:
     """(a, b) with a < b: pairs of (id, size, code) that the allocated thresholds let meet and whose sizes allow it."""
     spark, every = reps.sparkSession, np.arange(2 * PARTS)
     symbol_counts = _counted(reps, lambda code: _cell(code, every))
-    sample = reps.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("code").toPandas()
+    n = max(1, int(symbol_counts.sum()) // (2 * PARTS))
+    sample = reps.where(F.pmod(F.xxhash64("id"), F.lit(n)) < SAMPLE).select("code").toPandas()  # about SAMPLE rows of n, whatever n is
     codes_ = np.array(sample["code"].tolist(), np.int32).reshape(-1, 2 * PARTS)
     pairs = pair_up(np.log(symbol_counts[_cell(codes_, every)] + 1.0))
     parts = np.arange(PARTS)
